@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.llm import mixing
 from loomwork.llm.sharding import shard_documents
 
 
@@ -13,10 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each leaf of the tree, by epoch, that fill 70 % of all tokens at target weights."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text_hash")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards; equal texts stay together as far as counts allow."""
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_sharding": op10_sharding}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_mixing": op9_mixing,
+    "op10_sharding": op10_sharding,
+}
+ORACLE: dict[str, str] = {"op9_mixing": mixing.oracle()}
