@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm import mixing
+from loomwork.llm.quality import quality_rules
 from loomwork.llm.sharding import shard_documents
+from loomwork.llm.urls import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, score and verdict of every document."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each leaf of the tree, by epoch, that fill 70 % of all tokens at target weights."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text_hash")
@@ -25,6 +37,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op6_urls": op6_urls,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
