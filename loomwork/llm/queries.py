@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwork.llm import mixing
 from loomwork.llm.quality import quality_rules
 from loomwork.llm.sharding import shard_documents
+from loomwork.llm.simhash import edited_fingerprints
 from loomwork.llm.urls import filter_urls
 
 
@@ -21,6 +22,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     return filter_urls(table(spark, sf_dir, "pages"))
@@ -38,6 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op4_simhash": op4_simhash,
     "op6_urls": op6_urls,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
