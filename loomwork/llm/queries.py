@@ -10,6 +10,7 @@ from loomwork.llm import mixing
 from loomwork.llm.quality import quality_rules
 from loomwork.llm.sharding import shard_documents
 from loomwork.llm.simhash import edited_fingerprints
+from loomwork.llm.toxicity import toxicity
 from loomwork.llm.urls import filter_urls
 
 
@@ -22,6 +23,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -44,6 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
     "op6_urls": op6_urls,
     "op9_mixing": op9_mixing,
