@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm import mixing
+from loomwork.llm.privacy import find_personal
 from loomwork.llm.quality import quality_rules
 from loomwork.llm.sharding import shard_documents
 from loomwork.llm.simhash import edited_fingerprints
@@ -28,6 +29,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data, and of terms that disclose it, in every document."""
+    return find_personal(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -51,6 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
+    "op3_privacy": op3_privacy,
     "op4_simhash": op4_simhash,
     "op6_urls": op6_urls,
     "op9_mixing": op9_mixing,
