@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm import mixing
+from loomwork.llm.lshforest import near_duplicates
 from loomwork.llm.privacy import find_personal
 from loomwork.llm.quality import quality_rules
 from loomwork.llm.sharding import shard_documents
@@ -44,6 +45,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each leaf of the tree, by epoch, that fill 70 % of all tokens at target weights."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text_hash")
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_privacy": op3_privacy,
     "op4_simhash": op4_simhash,
     "op6_urls": op6_urls,
+    "op8_jaccard": op8_jaccard,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }

@@ -116,7 +116,8 @@ def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
         out[bounds[row] + inside] = acc[w.first[row] + inside]
     for i in np.flatnonzero((counts > 0) & ~full):
         h = w.hashes[w.first[i] : w.first[i + 1]]
-        out[bounds[i]] = (h * (_STEP[: len(h)] | U(1))).sum() + U(len(h)) * U(0xA24BAED4963EE407)
+        terms = np.append(h, U(len(h))) * np.append(_STEP[: len(h)] | U(1), U(0xA24BAED4963EE407))
+        out[bounds[i]] = terms.sum()
     return mix(out), bounds
 
 
