@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomwork.llm import mixing
+from loomwork.llm.linededup import dedup_lines
 from loomwork.llm.lshforest import near_duplicates
 from loomwork.llm.privacy import find_personal
 from loomwork.llm.quality import quality_rules
@@ -40,6 +42,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many of them are deleted, and a digest of what is left."""
+    left = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return left.select("doc_id", "n_lines", "n_deleted", F.char_length("text").cast("long").alias("n_chars"), digest.alias("text_sha256"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     return filter_urls(table(spark, sf_dir, "pages"))
@@ -65,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_privacy": op3_privacy,
     "op4_simhash": op4_simhash,
+    "op5_linededup": op5_linededup,
     "op6_urls": op6_urls,
     "op8_jaccard": op8_jaccard,
     "op9_mixing": op9_mixing,
