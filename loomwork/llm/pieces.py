@@ -111,7 +111,7 @@ def load(path: str) -> Pieces:
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes, sorted by their first ``depth`` characters at least."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
+    rank = text.astype(np.int64) + 1
     k = 1
     order = np.argsort(rank, kind="stable")
     while k < depth:
@@ -258,7 +258,7 @@ class Encoder:
 
         owner = np.repeat(np.arange(len(parts)), size + 1)[: len(text)]
         level = start - begin[owner[start]]
-        by = np.lexsort((start, level))
+        by = np.argsort(level.astype(np.uint16) if level.max(initial=0) < 1 << 16 else level, kind="stable")
         piece, start, level = piece[by], start[by], level[by]
         last = np.full(len(text) + 1, -2)  # the piece that ends at a place; -1 at the start of a part
         last[begin] = -1
@@ -273,22 +273,31 @@ class Encoder:
             good = (before == -1) | self._compatible(np.where(before < 0, unknown, before), q)
             last[s[good] + self.length[q[good]]] = q[good]
 
-        # Back from the ends.
-        ends = begin + size
-        chains: list[list[int]] = [[] for _ in parts]
-        live, at = np.arange(len(parts)), ends.copy()
+        # Back from the ends, all parts at once.
+        live, at = np.arange(len(parts)), begin + size
+        places, tokens = [], []
         while len(live):
             token = last[at]
-            for i, t, where in zip(live.tolist(), token.tolist(), at.tolist(), strict=True):
-                if t < unknown:
-                    chains[i].append(t)
-                else:
-                    chains[i].extend(self.bytes[b] for b in reversed(chr(text[where - 1]).encode()))
+            places.append(at)
+            tokens.append(token)
             at = at - self.length[token]
             on = at > begin[live]
             live, at = live[on], at[on]
-        for part, chain in zip(parts, chains, strict=True):
-            self.known[part] = np.array(chain[::-1], dtype=np.int32).tobytes()
+        place, token = np.concatenate(places), np.concatenate(tokens)
+        by = np.argsort(place)
+        place, token = place[by], token[by]
+        count = np.ones(len(place), dtype=np.int64)
+        out, lost = token.astype(np.int32), np.flatnonzero(token == unknown)
+        if len(lost):  # characters without a piece become their bytes
+            spelled = [[self.bytes[b] for b in chr(c).encode()] for c in text[place[lost] - 1].tolist()]
+            count[lost] = [len(x) for x in spelled]
+            out = np.repeat(out, count)
+            out[np.repeat(token == unknown, count)] = [i for x in spelled for i in x]
+        ends = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(place, begin + size, side="right")] * 4
+        flat, lo = out.tobytes(), 0
+        for part, hi in zip(parts, ends.tolist(), strict=True):
+            self.known[part] = flat[lo:hi]
+            lo = hi
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes joined, marks as blanks, without the leading one."""
@@ -296,7 +305,7 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-_workers: dict[int, Encoder] = {}
+_workers: dict[str, Encoder] = {}
 
 
 def _encoder(p: Pieces, key: str) -> Encoder:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomwork.llm import mixing
 from loomwork.llm.linededup import dedup_lines
 from loomwork.llm.lshforest import near_duplicates
+from loomwork.llm.pieces import encode_documents
 from loomwork.llm.privacy import find_personal
 from loomwork.llm.quality import quality_rules
 from loomwork.llm.sharding import shard_documents
@@ -54,6 +55,16 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+#: A public BPE vocabulary with byte fallback.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's ids, and whether they decode to the text."""
+    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
+    return coded.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "round_trip")
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
@@ -76,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_linededup": op5_linededup,
     "op6_urls": op6_urls,
+    "op7_pieces": op7_pieces,
     "op8_jaccard": op8_jaccard,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
