@@ -139,8 +139,8 @@ class Model:
             if len(code) < k:
                 continue
             run = np.concatenate(([0.0], np.cumsum(self.effect[_gram_buckets(code, k)], dtype=np.float64)))
-            count = np.maximum(length + 3 - k, 0)
-            total += np.where(count > 0, run[np.minimum(starts - 1 + count, len(run) - 1)] - run[starts - 1], 0)
+            count, last = np.maximum(length + 3 - k, 0), len(run) - 1
+            total += np.where(count > 0, run[np.minimum(starts - 1 + count, last)] - run[np.minimum(starts - 1, last)], 0)
             n += count
         return total / n, ids, first
 
