@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import mixing
+from loomwork.llm import mixing, oracles
 from loomwork.llm.linededup import dedup_lines
 from loomwork.llm.lshforest import near_duplicates
 from loomwork.llm.pieces import encode_documents
@@ -92,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
-ORACLE: dict[str, str] = {"op9_mixing": mixing.oracle()}
+ORACLE: dict[str, str] = {"op6_urls": oracles.URLS, "op8_jaccard": oracles.JACCARD, "op9_mixing": mixing.oracle()}

@@ -4,8 +4,10 @@ from collections import Counter
 import pytest
 
 from loomwork.llm import lshforest as L
-from tests.llm.helpers import documents, empty, frame, odd, texts
+from loomwork.llm.queries import ORACLE, QUERIES
+from tests.llm.helpers import SF, documents, empty, frame, odd, texts
 from tests.llm.test_quality import WORD
+from tests.oracle import same
 
 
 def shingles(text):
@@ -97,3 +99,7 @@ def test_odd_and_empty_tables(spark):
         [("1", "one"), ("2", "ano"), ("None", ""), ("3", ""), ("4", ""), ("5", " \n\t"[:3]), ("6", "w0x"), ("7", "a"), ("8", "é ñ"), ("9", "\n\n\n")])
     assert L.near_duplicates(empty(spark)).count() == 0
     assert L.one_of_each(empty(spark)).count() == 0
+
+
+def test_query_equals_sql(spark):
+    assert same(spark, SF, QUERIES["op8_jaccard"], ORACLE["op8_jaccard"]) > 0

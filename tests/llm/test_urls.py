@@ -1,5 +1,10 @@
+import duckdb
+
+from loomwork.llm.oracles import URLS
+from loomwork.llm.queries import QUERIES
 from loomwork.llm.urls import filter_urls, page_links
 from tests.llm.helpers import SF
+from tests.oracle import same
 
 COLUMNS = "page_id long, url string, html string, node string, root string"
 
@@ -35,7 +40,11 @@ def test_aliases(spark):
         ("https://d.net/1#part", '<link rel="canonical" href="http://x.com/de/2"><link rel=canonical href="http://x.com/fr/2">'),
         ("http://e.net/1", None), ("http://f.net/1", "canonical"), ("https://a.net/1", ""),
     )
-    got = {k: v[3] for k, v in verdicts(filter_urls(df)).items()}
+    got = verdicts(filter_urls(df))
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert {r[0]: r[1:] for r in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({URLS})").fetchall()} == got
+    got = {k: v[3] for k, v in got.items()}
     assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block"}
     more = spark.createDataFrame([("http://e.net/1", "http://x.com/de/7"), (None, "http://x.com/de/7")], "from_url string, to_url string")
     assert verdicts(filter_urls(df, redirects=more))[5][3] == "block"
@@ -53,3 +62,7 @@ def test_empty_and_real(spark):
     assert filter_urls(spark.createDataFrame([], COLUMNS)).count() == 0
     real = spark.read.parquet(f"{SF}/pages.parquet")
     assert filter_urls(real).count() == real.count()
+
+
+def test_query_equals_sql(spark):
+    assert same(spark, SF, QUERIES["op6_urls"], URLS) > 0
