@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,14 +18,15 @@ class Scratch:
     """Tables written to the folder in spark.checkpoint.dir, which cut a plan's lineage.
 
     They outlive the loss of executors. ``drop`` frees one early; the rest goes when the driver ends.
+    Only in local mode may the setting be missing; a temporary folder serves then.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            import tempfile
-
+            if not spark.sparkContext.master.partition("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="loomwork-")
         self.root = f"{root.rstrip('/')}/loomwork-{uuid.uuid4().hex}"
         atexit.register(self._clear)
