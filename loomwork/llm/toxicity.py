@@ -13,6 +13,7 @@ embedding times that difference: training steps and scoring work on these number
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,25 +82,47 @@ def _word_buckets(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return ((mix(h) >> U(40)) % U(BUCKETS)).astype(np.int32)
 
 
+def _runs_of(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
+    """The texts in runs of about so many characters, so that code points of all never stand in memory at once."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def bags(texts: list[str]) -> Bags:
     """Distinct words with their buckets, and every text as a run of them, for training."""
-    code, starts, ends, first = _codes(texts)
-    sums, inverse = _sums(code)
-    hashes = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)
-    _, one, number = np.unique(hashes, return_index=True, return_inverse=True)
-    starts, ends = starts[one], ends[one]
-    length = ends - starts
-    parts, owners = [_word_buckets(code, starts, ends)], [np.arange(len(starts))]
-    for n in GRAMS:
-        count = np.maximum(length + 3 - n, 0)
-        word = np.repeat(np.arange(len(starts)), count)
-        inside = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-        parts.append(_gram_buckets(code, n)[starts[word] - 1 + inside])
-        owners.append(word)
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    ptr = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(starts)))))
-    return Bags(np.concatenate(parts)[order], ptr, number, first)
+    known, feats, sizes, hashes, first = np.zeros(0, dtype=U), [], [], [], [np.zeros(1, np.int64)]
+    for run in _runs_of(texts):
+        code, starts, ends, at = _codes(run)
+        sums, inverse = _sums(code)
+        h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)
+        hashes.append(h)
+        first.append(first[-1][-1] + at[1:])
+        found, one = np.unique(h, return_index=True)
+        fresh = ~np.isin(found, known)
+        known, one = np.concatenate((known, found[fresh])), one[fresh]
+        starts, ends = starts[one], ends[one]
+        length = ends - starts
+        parts, owners = [_word_buckets(code, starts, ends)], [np.arange(len(starts))]
+        for n in GRAMS:
+            count = np.maximum(length + 3 - n, 0)
+            word = np.repeat(np.arange(len(starts)), count)
+            inside = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+            parts.append(_gram_buckets(code, n)[starts[word] - 1 + inside])
+            owners.append(word)
+        owner = np.concatenate(owners)
+        feats.append(np.concatenate(parts)[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner, minlength=len(starts)))
+    order = np.argsort(known)
+    number = order[np.searchsorted(known[order], np.concatenate(hashes))]
+    ptr = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    return Bags(np.concatenate(feats), ptr, number, np.concatenate(first))
 
 
 def common_buckets(b: Bags, least: int) -> np.ndarray:
@@ -244,10 +267,16 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
 
 def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> np.ndarray:
     """Logistic regression of the label on the highest window and the log number of windows, lightly penalised."""
-    words, ids, first = model.words(texts)
-    rows = [i for i in range(len(texts)) if first[i + 1] > first[i]]
-    x = np.array([[1.0, (z := _windows(words[first[i] : first[i + 1]], ids[first[i] : first[i + 1]]) + model.bias).max(), np.log(len(z))] for i in rows])
-    y = y[rows].astype(float)
+    x, rows, done = [], [], 0
+    for run in _runs_of(texts):
+        words, ids, first = model.words(run)
+        for i in range(len(run)):
+            if first[i + 1] > first[i]:
+                z = _windows(words[first[i] : first[i + 1]], ids[first[i] : first[i + 1]]) + model.bias
+                x.append([1.0, z.max(), np.log(len(z))])
+                rows.append(done + i)
+        done += len(run)
+    x, y = np.array(x), y[rows].astype(float)
     w = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     spread = np.array([1.0, max(1e-6, x[:, 1].std()), 1.0])
     x, beta = x / spread, np.zeros(3)
