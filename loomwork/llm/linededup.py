@@ -139,10 +139,11 @@ def deletions(lined: DataFrame, scratch: Scratch, least: int = LEAST_WORDS) -> D
     """doc_id, th, gone: the numbers of the lines to delete from each document that has any."""
     key = F.struct("doc_id", "th")
     eligible = F.array_distinct(F.filter(F.zip_with("lines", "n_words", lambda h, n: F.when(n >= least, h)), lambda h: h.isNotNull()))
-    seen = lined.select(key.alias("d"), F.explode(eligible).alias("line")).distinct()
-    shared = seen.groupBy("line").agg(F.min("d").alias("f"), F.count("*").alias("df")).where("df > 1")
-    pairs = seen.join(shared, "line").where("d <> f").select("d", "f").distinct()
-    sides = lined.select(key.alias("k"), "lines", "n_words").dropDuplicates(["k"])
+    # Written once without repeats: joins on plain tables can be split where one first document serves many.
+    sides = scratch.put(lined.select(key.alias("k"), "lines", "n_words").dropDuplicates(["k"]))
+    seen = sides.select(F.col("k").alias("d"), F.explode(eligible).alias("line"))
+    shared = scratch.put(seen.groupBy("line").agg(F.min("d").alias("f"), F.count("*").alias("df")).where("df > 1"))
+    pairs = scratch.put(seen.join(shared, "line").where("d <> f").select("d", "f").distinct())
     with_first = pairs.join(sides.select(F.col("k").alias("f"), F.col("lines").alias("first")), "f").select("d", "first")
     both = with_first.join(sides.select(F.col("k").alias("d"), "lines", "n_words"), "d").select("d.doc_id", "d.th", "first", "lines", "n_words")
 
