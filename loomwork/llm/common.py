@@ -78,13 +78,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node on an edge (u, v): the least node of its connected component.
 
     Alternates large-star and small-star rounds; each is two shuffles on the node, and its edges are
-    written before the next. Stops when a round changes nothing.
+    written before the next. Least neighbours are written too, so that their join with the edges is between
+    plain tables and Spark can split a node with very many edges. Stops when a round changes nothing.
     """
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     def star(e: DataFrame, small: bool) -> DataFrame:
         both = e if small else e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
         joined = both.join(least, "u")
         if small:
             own = least.select("u", "m").where("u <> m")
@@ -96,8 +97,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.put(down)
     was = mark(now)
     while was[0]:
-        after = scratch.put(star(star(now, small=False), small=True))
+        middle = scratch.put(star(now, small=False))
+        after = scratch.put(star(middle, small=True))
         scratch.drop(now)
+        scratch.drop(middle)
         now, seen = after, mark(after)
         if seen == was:
             break

@@ -153,7 +153,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     # Candidate groups.
     prefixes = nodes.select("short", F.explode("keys").alias("key"))
-    shared = prefixes.groupBy("key").agg(F.min("short").alias("least"), F.count("*").alias("c")).where("c > 1")
+    # Sums are written before they are joined: Spark splits a hot key's rows only between plain tables.
+    shared = scratch.put(prefixes.groupBy("key").agg(F.min("short").alias("least"), F.count("*").alias("c")).where("c > 1"))
     star = prefixes.join(shared, "key").where("short <> least").select(F.col("short").alias("u"), F.col("least").alias("v"))
     groups = scratch.put(components(star.distinct(), scratch).distinct())
     inside = nodes.select("node", "short", "copies", "n").join(groups.select(F.col("node").alias("short"), F.col("root").alias("grp")), "short")
@@ -161,16 +162,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     inside = scratch.put(inside.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) * (1 - 1e-9)).cast("int")))
     sizes = inside.groupBy("grp", "cls").agg(F.count("*").alias("m"))
     whole = inside.groupBy("grp").agg(F.count("*").alias("all"))
-    few = whole.where(F.col("all") <= 2 * BLOCK).select("grp")
     large = scratch.put(whole.where(F.col("all") > 2 * BLOCK).select("grp"))
 
-    small_tasks = inside.join(few, "grp", "left_semi").select("node", "copies", F.col("grp").cast("string").alias("task"), F.lit(0).alias("half"))
+    small_tasks = inside.join(large, "grp", "left_anti").select("node", "copies", F.col("grp").cast("string").alias("task"), F.lit(0).alias("half"))
     tasks = small_tasks
     if not large.isEmpty():
         blocks = sizes.join(large, "grp").select("grp", "cls", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
         above = blocks.select("grp", (F.col("cls") - 1).alias("cls"), F.col("k").alias("k_above"))
         below = blocks.select("grp", (F.col("cls") + 1).alias("cls"), F.col("k").alias("k_below"))
         blocks = blocks.join(above, ["grp", "cls"], "left").join(below, ["grp", "cls"], "left").na.fill(0, ["k_above", "k_below"])
+        blocks = scratch.put(blocks)  # a plain table, so that the join can split a large group
         mine = inside.join(blocks, ["grp", "cls"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
         name = lambda c1, i, c2, j: F.concat_ws("/", "grp", c1, i, c2, j)
@@ -197,7 +198,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = scratch.put(components(found.select(F.col("node").alias("u"), F.col("other").alias("v")), scratch).distinct())
     named = nodes.select("node", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first").alias("class_id"))
+    least = scratch.put(named.groupBy("root").agg(F.min("first").alias("class_id")))
     classes = named.join(least, "root").join(links, "node", "left").select(
         F.col("node").alias("text_md5"), "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc_id", "text_md5", "n_shingles").join(scratch.put(classes), "text_md5", "left")
