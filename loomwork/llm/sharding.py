@@ -39,7 +39,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 6) -> Dat
     room = max(1, total // n_shards)
 
     # Hubs: texts that occur twice or more; larger ones than a shard in pieces.
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = scratch.put(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"))
     pieces = F.when(F.col("n") > room, F.ceil(F.col("n") * 1.25 / room)).otherwise(1)
     linked = rows.select("rid", "grp").join(sizes, "grp").select(
         "rid",
