@@ -1,0 +1,75 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from loomwork.llm.common import Scratch, components, prefix_sum, slice_of
+from loomwork.llm.vectors import shingles, words
+from tests.llm.test_quality import WORD
+
+
+@pytest.mark.parametrize("n_edges", [0, 1, 60, 400])
+def test_components(spark, n_edges):
+    rng = random.Random(n_edges)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(n_edges)]
+    edges += [(1000 + i, 1001 + i) for i in range(40 if n_edges else 0)]  # a chain
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()
+    want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+
+
+def test_prefix_sums(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice("ab"), rng.randrange(10)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, part string, w long").withColumn("piece", F.col("id") % 7)
+    got = {r.id: r.before for r in prefix_sum(df, ["part"], "piece", [F.col("id")], F.col("w"), "before").collect()}
+    for p in "ab":
+        total = 0
+        for i, _, w in sorted((r for r in rows if r[1] == p), key=lambda r: (r[0] % 7, r[0])):
+            assert got[i] == total
+            total += w
+
+
+def test_slices_are_in_range_and_even(spark):
+    df = spark.range(4000).select(slice_of(F.xxhash64("id"), 8).alias("s")).groupBy("s").count().collect()
+    assert sorted(r.s for r in df) == list(range(8)) and min(r["count"] for r in df) > 400
+
+
+def test_words_and_shingles_do_not_depend_on_the_chunk():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab é\n\t") for _ in range(rng.randrange(80))) for _ in range(200)] + [None, "", " ", "é"]
+    column = pa.array(texts, pa.string())
+    seen = {}
+    for limit in (1, 64, 1 << 20):
+        out, spelled = [], []
+        for w in words(column, limit):
+            h, at = shingles(w)
+            out += [h[at[i] : at[i + 1]].tolist() for i in range(w.hi - w.lo)]
+            spelled += [[w.data[s:e].tobytes().decode() for s, e in zip(w.starts[a:b], w.ends[a:b], strict=True)] for a, b in zip(w.first, w.first[1:], strict=False)]
+        assert spelled == [WORD.findall(t or "") for t in texts]
+        seen[limit] = out
+    assert seen[1] == seen[64] == seen[1 << 20]
+    by_words = {}
+    for t, h in zip(texts, seen[1], strict=True):
+        w = WORD.findall(t or "")
+        for k, x in enumerate(h):
+            assert by_words.setdefault(tuple(w[k : k + 5]), x) == x
+    assert len(set(by_words.values())) == len(by_words)
+
+
+def test_sliced_columns():
+    whole = pa.array(["a b", "c", None, "d e f"], pa.string())
+    counts = [np.diff(w.first).tolist() for w in words(whole.slice(1, 3))]
+    assert counts == [[1, 0, 3]]
