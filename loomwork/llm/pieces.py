@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Parts whose ids a worker remembers, and characters that are indexed at a time.
-REMEMBER, INDEX_CHARS = 400_000, 2_000_000
+#: Parts whose ids a task remembers, twice over, and characters that are indexed at a time.
+REMEMBER, INDEX_CHARS = 250_000, 1_000_000
 
 
 @dataclass
@@ -111,21 +111,35 @@ def load(path: str) -> Pieces:
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes, sorted by their first ``depth`` characters at least."""
-    rank = text.astype(np.int64) + 1
-    k = 1
+    kinds = np.bincount(text) > 0
+    rank = np.cumsum(kinds)[text]
+    bits = int(kinds.sum()).bit_length()
+    k = max(1, min(62 // bits, depth))  # so many characters fit in one number
+    packed = np.zeros_like(rank)
+    for j in range(min(k, len(rank))):
+        packed[: len(rank) - j] |= rank[j:] << bits * (k - 1 - j)
+    rank = packed
     order = np.argsort(rank, kind="stable")
+    if k < depth:
+        rank = _renumbered(rank, order)
     while k < depth:
         after = np.zeros_like(rank)
         after[:-k] = rank[k:] if k < len(rank) else 0
         key = rank * (rank.max() + 1) + after
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(np.concatenate(([1], sorted_key[1:] != sorted_key[:-1])))
         k *= 2
+        rank = _renumbered(key, order) if k < depth else rank
     return order
 
 
+def _renumbered(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Ranks from 1 of the keys, equal for equal keys."""
+    by = key[order]
+    rank = np.empty_like(key)
+    rank[order] = np.cumsum(np.concatenate(([1], by[1:] != by[:-1])))
+    return rank
+
+
 class Encoder:
     """Encodes and decodes on a worker; remembers the ids of parts."""
 
@@ -144,8 +158,19 @@ class Encoder:
         raw = [x.encode() for x in p.names]
         for i, b in p.byte_of.items():
             raw[i] = bytes([b])
-        self.raw = [b"" if not u and i not in p.byte_of else r for i, (r, u) in enumerate(zip(raw, p.usable, strict=True))]
+        raw = [b"" if not u and i not in p.byte_of else r for i, (r, u) in enumerate(zip(raw, p.usable, strict=True))]
+        self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.raw_size = np.array([len(r) for r in raw])
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+        # Most pairs don't merge: a small table of marks settles those.
+        self.marks = np.zeros(1 << 20, dtype=bool)
+        self.marks[self._mark(p.pair_keys)] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        """Free what is remembered of the parts seen."""
+        self.known, self.older = {}, {}
 
     def _ids(self, symbols: list[str]) -> bytes:
         out: list[int] = []
@@ -155,26 +180,47 @@ class Encoder:
         return np.array(out, dtype=np.int32).tobytes()
 
     def parts(self, text: str) -> list[str]:
-        """The text with its leading mark (as a blank), cut before every run of blanks."""
-        return re.findall(" +[^ ]*", " " + text.replace(MARK, " ")) if text else []
+        """The text with a leading mark, cut before every run of marks; a single mark isn't written, runs are, as blanks."""
+        text = text.replace(MARK, " ")
+        if "  " not in text and text[:1] != " ":
+            return text.split(" ") if text else []
+        return [x if x.startswith("  ") else x[1:] for x in re.findall(" +[^ ]*", " " + text)]
+
+    @staticmethod
+    def _mark(keys: np.ndarray) -> np.ndarray:
+        return (keys * 0x9E3779B1 >> 20) & ((1 << 20) - 1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as int32 bytes."""
-        cut = [self.parts(t) for t in texts]
+        done: list[list[bytes | None]] = []
+        open_parts: list[tuple[list[bytes | None], int, str]] = []  # where ids are still to be filled in
         new: dict[str, None] = {}
         room = 0
-        for parts in cut:
-            for part in parts:
-                if part not in self.known and part not in new:
+        for text in texts:
+            parts = self.parts(text)
+            ids = list(map(self.known.get, parts))
+            done.append(ids)
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                part = parts[at]
+                old = self.older.get(part)
+                if old is not None:
+                    self.known[part] = ids[at] = old
+                    continue
+                open_parts.append((ids, at, part))
+                if part not in new:
                     new[part] = None
                     room += len(part)
-                    if room > INDEX_CHARS:
-                        self._learn(list(new))
-                        new, room = {}, 0
+            if room > INDEX_CHARS:
+                self._learn(list(new))
+                new, room = {}, 0
         self._learn(list(new))
-        out = [b"".join([self.known[x] for x in parts]) for parts in cut]
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        for ids, at, part in open_parts:
+            ids[at] = self.known[part]
+        out = [b"".join(ids) for ids in done]
+        if len(self.known) > REMEMBER:  # what the next generation uses is carried over to it
+            self.known, self.older = {}, self.known
         return out
 
     def _learn(self, parts: list[str]) -> None:
@@ -221,9 +267,12 @@ class Encoder:
         x, y = a[at], b[at]
         limit, ties = np.full(len(at), np.inf), np.ones(len(at), dtype=bool)
         while len(at):
-            k = np.searchsorted(p.pair_keys, x * n + y)
+            pair = x * n + y
+            r = np.full(len(pair), np.inf)
+            maybe = np.flatnonzero(self.marks[self._mark(pair)])
+            k = np.searchsorted(p.pair_keys, pair[maybe])
             k[k == len(p.pair_keys)] = 0
-            r = np.where(p.pair_keys[k] == x * n + y, p.pair_rank[k], np.inf)
+            r[maybe] = np.where(p.pair_keys[k] == pair[maybe], p.pair_rank[k], np.inf)
             bad = (r < limit) | (ties & (r == limit) & np.isfinite(r))
             fine[at[bad]] = False
             rx, ry = p.rank[x], p.rank[y]
@@ -236,9 +285,9 @@ class Encoder:
 
     def _index(self, parts: list[str]) -> None:
         p, unknown = self.p, self.p.size
-        joined = "\n".join(parts).replace(" ", MARK)
+        joined = "\n".join([MARK + x for x in parts])
         text = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        size = np.array([len(x) for x in parts])
+        size = np.array([len(x) for x in parts]) + 1
         begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
         # A line feed inside a part is a character like any other; the joints become 0, which no piece has.
         joint = begin[1:] - 1
@@ -299,10 +348,20 @@ class Encoder:
             self.known[part] = flat[lo:hi]
             lo = hi
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces and bytes joined, marks as blanks, without the leading one."""
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of runs of ids: pieces and bytes joined, marks as blanks, without the leading one."""
+        out = []
+        for lo in range(0, len(bounds) - 1, 200):
+            ends = bounds[lo : lo + 201]
+            mine = ids[ends[0] : ends[-1]]
+            size = self.raw_size[mine]
+            after = np.concatenate(([0], np.cumsum(size)))
+            joined = self.raw[np.repeat(self.raw_at[mine] - after[:-1], size) + np.arange(after[-1])].tobytes()
+            cuts = after[ends - ends[0]].tolist()
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                text = joined[s:e].decode("utf-8", "replace").replace(MARK, " ")
+                out.append(text[1:] if text.startswith(" ") else text)
+        return out
 
 
 _workers: dict[str, Encoder] = {}
@@ -332,11 +391,13 @@ def encode_column(text: Column, model: str) -> Column:
     p = load(model)
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = _encoder(p, model)
-        done = [x for part in _batches(texts) for x in enc.encode(part)]
-        at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in done]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(done), dtype=np.int32)))
+        for texts in batches:
+            done = [x for part in _batches(texts) for x in enc.encode(part)]
+            at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in done]))).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(done), dtype=np.int32)))
+        enc.forget()  # workers live on and serve other stages
 
     return encode(text)
 
@@ -347,8 +408,9 @@ def decode_column(ids: Column, model: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
-        enc = _encoder(p, model)
-        return pa.array([enc.decode(x.as_py() or []) for x in lists], pa.string())
+        size = np.nan_to_num(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)  # without the ids of null lists
+        return pa.array(_encoder(p, model).decode(ids, np.concatenate(([0], np.cumsum(size)))), pa.string())
 
     return decode(ids)
 
