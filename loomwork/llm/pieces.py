@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Parts whose ids a task remembers, twice over, and characters that are indexed at a time.
-REMEMBER, INDEX_CHARS = 250_000, 1_000_000
+#: Parts whose ids a worker remembers, twice over, and characters that are indexed at a time.
+REMEMBER, INDEX_CHARS = 100_000, 500_000
 
 
 @dataclass
@@ -168,10 +168,6 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def forget(self) -> None:
-        """Free what is remembered of the parts seen."""
-        self.known, self.older = {}, {}
-
     def _ids(self, symbols: list[str]) -> bytes:
         out: list[int] = []
         for s in symbols:
@@ -374,7 +370,7 @@ def _encoder(p: Pieces, key: str) -> Encoder:
     return _workers[key]
 
 
-def _batches(texts: pa.Array, chars: int = 4_000_000) -> Iterator[list[str]]:
+def _batches(texts: pa.Array, chars: int = 2_000_000) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
         t = t.as_py() or ""
@@ -391,13 +387,11 @@ def encode_column(text: Column, model: str) -> Column:
     p = load(model)
 
     @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode(texts: pa.Array) -> pa.Array:
         enc = _encoder(p, model)
-        for texts in batches:
-            done = [x for part in _batches(texts) for x in enc.encode(part)]
-            at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in done]))).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(done), dtype=np.int32)))
-        enc.forget()  # workers live on and serve other stages
+        done = [x for part in _batches(texts) for x in enc.encode(part)]
+        at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in done]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(done), dtype=np.int32)))
 
     return encode(text)
 
