@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Parts whose ids a worker remembers, twice over, and characters that are indexed at a time.
-REMEMBER, INDEX_CHARS = 100_000, 500_000
+REMEMBER, INDEX_CHARS = 250_000, 500_000
 
 
 @dataclass
