@@ -41,7 +41,7 @@ def depth_for(threshold: float = THRESHOLD, recall: float = RECALL, trees: int =
 
 
 def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, text_md5, n_shingles and the prefix of every tree (null for a text without words)."""
+    """doc_id, text_md5, n_shingles (distinct ones) and the prefix of every tree (null for a text without words)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,7 +49,7 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
             sizes = np.zeros(batch.num_rows, dtype=np.int64)
             for w in words(batch.column("text"), 1 << 18):
                 h, bounds = shingles(w, SIZE)
-                sizes[w.lo : w.hi] = np.diff(bounds)
+                sizes[w.lo : w.hi] = [len(np.unique(h[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 h32 = (h >> U(32)).astype(np.uint32)
                 for t in range(TREES):
                     key = np.full(w.hi - w.lo, t + 1, dtype=U)

@@ -71,6 +71,15 @@ def test_families_copies_and_edges(spark, monkeypatch):
     assert result(frame(spark, rows)) == want
 
 
+def test_repeated_passages_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 8)
+    once = family(random.Random(6), 0, 40, edits=1)
+    rows = [*once, *((100 + i, f"{t} {t}") for i, t in once[:20])]
+    want = plain(rows)
+    assert min(n for _, n in want.values()) > 0
+    assert result(frame(spark, rows)) == want
+
+
 def test_depth_follows_the_recall():
     assert L.depth_for(recall=0.5) == L.DEPTH
     deep = [L.depth_for(recall=r) for r in (0.9, 0.99, 0.999, 0.99999, 1.0)]
