@@ -1,9 +1,11 @@
 """Operator 5, line dedup: pairwise alignment of documents that share lines.
 
-Lines are hashed. Lines of fewer than ``LEAST_WORDS`` words recur by chance and pair nothing; each longer one
-that documents share pairs the later document with the first document that holds it, so a line that n
-documents share gives n - 1 pairs at most. That bound lets frequent lines count like rare ones: with a cut
-by frequency, a passage of thousands of documents would be lost. Each pair is aligned by patience diff (lines that are unique in both, longest increasing run, then outwards and between),
+Lines are hashed. Documents are paired by runs of neighbouring lines: for every line, the shortest runs that hold
+it and reach ``LEAST_WORDS`` words (a line that long is such a run itself). Whatever a common block may delete lies
+in runs that both documents have, and each run pairs a later document with its own first holder, so a run that n
+documents share gives n - 1 pairs at most, and a document finds the holder of a body also where another one holds
+its header. That bound lets frequent lines count like rare ones: with a cut by frequency, a passage of thousands of
+documents would be lost. Each pair is aligned by patience diff (lines that are unique in both, longest increasing run, then outwards and between),
 and common blocks are deleted from the later document. What is left is aligned again until nothing more is
 found, so blocks that moved are found too. Document order is doc_id, then a hash of the text.
 """
@@ -20,18 +22,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import Scratch
-from loomwork.llm.vectors import BLANK, chunks, span_hashes
+from loomwork.llm.vectors import BLANK, U, chunks, mix, powers, span_hashes
 
-#: Words that a line needs to pair documents, and that a common block needs to be deleted.
+#: Words that a run of lines needs to pair documents, and that a common block needs to be deleted.
 LEAST_WORDS = 5
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), lines (hash of every line) and n_words (words of every line)."""
+def least_runs(n_words: np.ndarray, ends: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of all shortest runs that hold some line and reach ``least`` words, sorted, without repeats.
+
+    ``n_words`` goes over the lines of several texts, ``ends`` is where each text ends. A run starts at the line
+    that it is for or at an earlier line with words, so a line has at most ``least`` + 1 of them.
+    """
+    n = len(n_words)
+    lines = np.arange(n)
+    sums = np.concatenate(([0], np.cumsum(n_words, dtype=np.int64)))
+    starts = np.concatenate(([0], ends[:-1]))
+    text = np.searchsorted(ends, lines, side="right")
+    reach = np.searchsorted(sums, sums[:-1] + least) - 1  # last line of the shortest run from each line on
+    reach[reach >= ends[text]] = n  # the text ends before
+    before = np.concatenate(([-1], np.maximum.accumulate(np.where(n_words > 0, lines, -1))[:-1])) if n else lines
+    before[before < starts[text]] = -1  # the line with words before, in the same text
+    at, held, last = lines, lines, np.full(n, n)
+    found = []
+    for _ in range(least + 1):
+        stop = np.maximum(reach[at], held)
+        shorter = stop < last
+        found.append(at[shorter] * (n + 1) + stop[shorter])
+        going = (before[at] >= 0) & (stop > held)  # from a run that ends with the line, earlier starts add nothing
+        last, held, at = np.minimum(stop, last)[going], held[going], before[at[going]]
+    code = np.unique(np.concatenate(found))
+    return code // (n + 1), code % (n + 1)
+
+
+def run_hashes(lines: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each run of line hashes; equal runs give equal hashes wherever they stand."""
+    power, inverse = powers(len(lines))
+    sums = np.zeros(len(lines) + 1, dtype=U)
+    np.cumsum(lines * power[: len(lines)], out=sums[1:])
+    return mix((sums[last + 1] - sums[first]) * inverse[first] + (last + 1 - first).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def hashed_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, th (hash of the text), lines (hash of every line), n_words (words of every line) and runs (hashes of its least runs)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, counts, ends = [], [], [np.zeros(1, np.int64)]
+            runs, run_ends = [], [np.zeros(1, np.int64)]
             for _, _, data, offsets in chunks(batch.column("text")):
                 breaks = np.flatnonzero(data == 10)
                 # Each text has one line more than line feeds.
@@ -43,16 +81,22 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
                 edge = offsets[:-1][offsets[:-1] < len(data)]
                 begins[edge] = solid[edge]
                 run = np.concatenate(([0], np.cumsum(begins)))
-                hashes.append(span_hashes(data, starts, stops).view(np.int64))
+                own = span_hashes(data, starts, stops)
+                hashes.append(own.view(np.int64))
                 counts.append((run[stops] - run[starts]).astype(np.int32))
                 per = np.searchsorted(breaks, offsets[1:]) - np.searchsorted(breaks, offsets[:-1]) + 1
                 ends.append(ends[-1][-1] + np.cumsum(per))
+                first, last = least_runs(counts[-1], np.cumsum(per), least)
+                runs.append(run_hashes(own, first, last).view(np.int64))
+                run_ends.append(run_ends[-1][-1] + np.searchsorted(first, np.cumsum(per)))
             at = pa.array(np.concatenate(ends).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x) if x else np.zeros(0, t))) for x, t in ((hashes, np.int64), (counts, np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *lists], names=["doc_id", "th", "lines", "n_words"])
+            run_at = pa.array(np.concatenate(run_ends).astype(np.int32))
+            lists.append(pa.ListArray.from_arrays(run_at, pa.array(np.concatenate(runs) if runs else np.zeros(0, np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *lists], names=["doc_id", "th", "lines", "n_words", "runs"])
 
     named = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    return named.mapInArrow(scan, "doc_id long, th long, lines array<long>, n_words array<int>")
+    return named.mapInArrow(scan, "doc_id long, th long, lines array<long>, n_words array<int>, runs array<long>")
 
 
 def _longest_run(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -138,12 +182,11 @@ def common_blocks(first: list[int], later: list[int], n_words: list[int], least:
 def deletions(lined: DataFrame, scratch: Scratch, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, th, gone: the numbers of the lines to delete from each document that has any."""
     key = F.struct("doc_id", "th")
-    eligible = F.array_distinct(F.filter(F.zip_with("lines", "n_words", lambda h, n: F.when(n >= least, h)), lambda h: h.isNotNull()))
     # Written once without repeats: joins on plain tables can be split where one first document serves many.
-    sides = scratch.put(lined.select(key.alias("k"), "lines", "n_words").dropDuplicates(["k"]))
-    seen = sides.select(F.col("k").alias("d"), F.explode(eligible).alias("line"))
-    shared = scratch.put(seen.groupBy("line").agg(F.min("d").alias("f"), F.count("*").alias("df")).where("df > 1"))
-    pairs = scratch.put(seen.join(shared, "line").where("d <> f").select("d", "f").distinct())
+    sides = scratch.put(lined.select(key.alias("k"), "lines", "n_words", "runs").dropDuplicates(["k"]))
+    seen = sides.select(F.col("k").alias("d"), F.explode(F.array_distinct("runs")).alias("run"))
+    shared = scratch.put(seen.groupBy("run").agg(F.min("d").alias("f"), F.count("*").alias("df")).where("df > 1"))
+    pairs = scratch.put(seen.join(shared, "run").where("d <> f").select("d", "f").distinct())
     with_first = pairs.join(sides.select(F.col("k").alias("f"), F.col("lines").alias("first")), "f").select("d", "first")
     both = with_first.join(sides.select(F.col("k").alias("d"), "lines", "n_words"), "d").select("d.doc_id", "d.th", "first", "lines", "n_words")
 
@@ -159,13 +202,13 @@ def deletions(lined: DataFrame, scratch: Scratch, least: int = LEAST_WORDS) -> D
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """All columns of ``docs`` with the text that is left, and n_lines and n_deleted; every row stays.
 
-    The first document that holds a line keeps it; a later exact copy loses all its lines and has the text
-    ''. Rows with equal doc_id and text count as one document and get the same result. A null text has no
+    The first document that holds a line keeps it; a later exact copy of ``least`` words or more loses all its
+    lines and has the text ''. Rows with equal doc_id and text count as one document and get the same result. A null text has no
     lines and stays null; null ids come first. Lines of fewer words only go as part of a larger block. An
     empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    lined = scratch.put(hashed_lines(docs))
+    lined = scratch.put(hashed_lines(docs, least))
     gone = scratch.put(deletions(lined, scratch, least))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__gth"), F.array_sort("gone").alias("__gone"))
     own = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))

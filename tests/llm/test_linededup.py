@@ -1,6 +1,8 @@
 import random
 
-from loomwork.llm.linededup import common_blocks, dedup_lines, hashed_lines, patience
+import numpy as np
+
+from loomwork.llm.linededup import common_blocks, dedup_lines, hashed_lines, least_runs, patience
 from tests.llm.helpers import documents, empty, frame, odd, texts
 
 
@@ -47,6 +49,34 @@ def test_passage_of_many_documents(spark):
     assert all(got[i] == (f"{line(1000 + i)}\n{line(2000 + i)}", 8) for i in range(1, 120))
 
 
+def test_short_lines(spark):
+    verse = "\n".join(f"verse {k} goes on" for k in range(20))
+    words = "\n".join(f"word{k}" for k in range(6))
+    rows = [(1, verse), (2, verse), (3, f"{line(1)}\n{verse}\n\nend"), (4, words), (5, f"own\n\n{words}"), (6, "too few words"), (7, "too few words")]
+    got = {k[0]: v for k, v in result(spark, rows).items()}
+    assert got == {
+        1: (verse, 0), 2: ("", 20), 3: (f"{line(1)}\n\nend", 20), 4: (words, 0), 5: ("own\n", 6), 6: ("too few words", 0), 7: ("too few words", 0),
+    }
+
+
+def test_least_runs_against_all_runs():
+    rng = random.Random(3)
+    for _ in range(300):
+        texts = [[rng.choice((0, 0, 1, 2, 4, 5, 9)) for _ in range(rng.randrange(1, 12))] for _ in range(3)]
+        first, last = least_runs(np.array(sum(texts, [])), np.cumsum([len(t) for t in texts]))
+        got, at = set(zip(first.tolist(), last.tolist(), strict=True)), 0
+        assert len(got) == len(first)
+        for t in texts:
+            spans = [(i, j) for i in range(len(t)) for j in range(i, len(t)) if sum(t[i : j + 1]) >= 5]
+            own = {(i - at, j - at) for i, j in got if at <= i < at + len(t)}
+            assert own <= set(spans)
+            # Every run that may be deleted is covered by least runs inside it.
+            for i, j in spans:
+                inside = [s for s in own if i <= s[0] and s[1] <= j]
+                assert {k for a, b in inside for k in range(a, b + 1)} == set(range(i, j + 1))
+            at += len(t)
+
+
 def test_patience_pairs_rise():
     rng = random.Random(1)
     for _ in range(500):
