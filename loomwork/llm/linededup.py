@@ -1,7 +1,7 @@
 """Operator 5, line dedup: pairwise alignment of documents that share lines.
 
 Lines are hashed. Documents are paired by runs of neighbouring lines: for every line, the shortest runs that hold
-it and reach ``LEAST_WORDS`` words (a line that long is such a run itself). Whatever a common block may delete lies
+it and reach ``LEAST_WORDS`` words (a line that long is such a run itself), and by whole texts. Whatever a common block may delete lies
 in runs that both documents have, and each run pairs a later document with its own first holder, so a run that n
 documents share gives n - 1 pairs at most, and a document finds the holder of a body also where another one holds
 its header. That bound lets frequent lines count like rare ones: with a cut by frequency, a passage of thousands of
@@ -29,9 +29,9 @@ LEAST_WORDS = 5
 
 
 def least_runs(n_words: np.ndarray, ends: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """First and last lines of all shortest runs that hold some line and reach ``least`` words, sorted, without repeats.
+    """First and last lines of all shortest runs that hold some line and reach ``least`` words, and of whole texts that do.
 
-    ``n_words`` goes over the lines of several texts, ``ends`` is where each text ends. A run starts at the line
+    They are sorted, without repeats. ``n_words`` goes over the lines of several texts, ``ends`` is where each text ends. A run starts at the line
     that it is for or at an earlier line with words, so a line has at most ``least`` + 1 of them.
     """
     n = len(n_words)
@@ -51,6 +51,8 @@ def least_runs(n_words: np.ndarray, ends: np.ndarray, least: int = LEAST_WORDS)
         found.append(at[shorter] * (n + 1) + stop[shorter])
         going = (before[at] >= 0) & (stop > held)  # from a run that ends with the line, earlier starts add nothing
         last, held, at = np.minimum(stop, last)[going], held[going], before[at[going]]
+    whole = sums[ends] - sums[starts] >= least
+    found.append(starts[whole] * (n + 1) + ends[whole] - 1)
     code = np.unique(np.concatenate(found))
     return code // (n + 1), code % (n + 1)
 

@@ -59,6 +59,13 @@ def test_short_lines(spark):
     }
 
 
+def test_bodies_below_a_header_of_others(spark):
+    body = "\n".join(f"item {k}" for k in range(40))
+    rows = [(1, line(1)), (2, f"{line(1)}\n{body}"), (3, f"{line(1)}\n{body}"), (4, f"{line(1)}\nitem 0\nown"), (5, f"own\n{body}\n{line(2)}")]
+    got = {k[0]: v for k, v in result(spark, rows).items()}
+    assert got == {1: (line(1), 0), 2: (body, 1), 3: ("", 41), 4: ("own", 2), 5: (f"own\n{line(2)}", 40)}
+
+
 def test_least_runs_against_all_runs():
     rng = random.Random(3)
     for _ in range(300):
