@@ -3,17 +3,17 @@
 Emails, addresses, card and phone numbers are found by pattern. Each distinct one is a protected entity.
 A term (a word without outer punctuation, in lower case) discloses an entity as far as its presence tells
 that the entity is near: PMI(term, entity) / information of the entity, between words at most ``REACH``
-words apart in a line. Terms at or above the disclosure threshold, seen with the entity in several
-different contexts, become spans of kind ``term`` wherever they stand in reach of that entity.
+words apart in a line. The share of a term's contexts that hold the entity enters at its lower bound, so a
+rare word that stands near an entity by chance is none, and one that stands nowhere else is. Terms at or
+above the disclosure threshold become spans of kind ``term`` wherever they stand in reach of that entity.
 
-Counts: N words of the corpus; n(t) occurrences of a term; n(c) and n(c, t) different contexts (the words
-in reach) of an entity, and of an entity with the term, so that copies of a document count once.
+Counts: N words of the corpus; n(t), n(c) and n(c, t) different contexts (the words in reach) of a term, of an
+entity, and of an entity with the term, so that copies of a document count once.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import Scratch
+from loomwork.llm.linededup import run_hashes
+from loomwork.llm.vectors import words
 
 # The kinds in their order, and the characters of each pattern.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -35,10 +37,12 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 #: A term's share of the entity's information from which it is a disclosure.
 DISCLOSURE = 0.8
-#: Different contexts that a term must share with an entity.
-LEAST_CONTEXTS = 3
+#: Deviations below the observed share of a term's contexts at which its lower bound lies (Wilson, one-sided 95 %).
+DEVIATIONS = 1.645
 REACH = 10
-#: Bits of the filter of candidate terms; its size is fixed, a false hit costs a row and changes nothing.
+#: Term and context pairs that a task holds at most.
+HELD = 500_000
+#: Cells of the filter of candidate terms; its size is fixed, a false hit costs a row and changes nothing.
 FILTER_BITS = 1 << 22
 
 
@@ -132,73 +136,103 @@ def contexts(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -
 def _scan() -> Column:
     """A struct of base counts, base spans and contexts of a text column."""
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<c:long,x:long,t:long,s:int,e:int>>")
+    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, n_chars long, base string, near array<struct<c:long,x:long,t:long,s:int,e:int>>")
     def scan(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             spans = base_spans(text)
             n = [sum(k == kind for k, _, _ in spans) for kind in KINDS[:4]]
             near = [dict(zip("cxtse", x, strict=True)) for x in contexts(text, spans)] if spans else None
-            rows.append((*n, ",".join(f"{k}:{s}:{e}" for k, s, e in spans), near))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+            rows.append((*n, len(text), ",".join(f"{k}:{s}:{e}" for k, s, e in spans), near))
+        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "n_chars", "base", "near"])
 
     return scan(F.coalesce("text", F.lit("")))
 
 
+def _few(t: np.ndarray, x: np.ndarray, caps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (term, context) pairs, sorted, and one more than its cap of each term at most."""
+    order = np.lexsort((x, t))
+    t, x, caps = t[order], x[order], caps[order]
+    new = np.ones(len(t), dtype=bool)
+    new[1:] = (t[1:] != t[:-1]) | (x[1:] != x[:-1])
+    t, x, caps = t[new], x[new], caps[new]
+    few = np.arange(len(t)) - np.searchsorted(t, t) <= caps
+    return t[few], x[few], caps[few]
+
+
 def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(t, n): occurrences in the corpus of at least the candidate terms (column t); and t null with N, all words.
+    """(t, n): different contexts in the corpus of at least the candidate terms; and t null with N, all words.
 
-    A bit table of fixed size tells each task which words to count; one row a term and batch is shuffled.
+    Candidates are (t, most): beyond ``most`` contexts a term's number is a lower bound above ``most``, so that a
+    frequent word costs little. A table of fixed size tells each task the words to count and their bounds, rounded
+    up to powers of two; each task shuffles the different contexts that it met.
     """
-    bit = F.pmod("t", F.lit(FILTER_BITS))
-    packed = candidates.select(F.shiftright(bit, 6).alias("i"), F.expr(f"shiftleft(1L, CAST(pmod(t, {FILTER_BITS}) & 63 AS INT))").alias("b"))
-    cells = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in packed.groupBy("i").agg(F.bit_or("b").alias("b")).collect():  # at most FILTER_BITS / 64 rows
-        cells[r["i"]] = r["b"]
-    bits = np.unpackbits(cells.view(np.uint8), bitorder="little").astype(bool)
+    power = (F.greatest(F.ceil(F.log2("most")), F.lit(0)) + 1).cast("byte")
+    cells = candidates.groupBy(F.pmod("t", F.lit(FILTER_BITS)).cast("int").alias("i")).agg(F.max(power).alias("p")).toArrow()  # FILTER_BITS rows at most
+    powers = np.zeros(FILTER_BITS, dtype=np.uint8)
+    powers[cells.column("i").to_numpy()] = cells.column("p").to_numpy()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total, held = 0, []
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _few(*(np.concatenate(column) for column in zip(*held, strict=True)))
 
-        def found(seen: Counter) -> pa.RecordBatch:
-            terms: Counter = Counter()
-            for word, n in seen.items():
-                term, _ = _term(word)
-                h = _hash(term)
-                if term and bits[h % FILTER_BITS]:
-                    terms[h] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(terms), pa.int64()), pa.array(list(terms.values()), pa.int64())], names=["t", "n"])
+        def rows(t: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(x), pa.nulls(len(t), pa.int64())], names=["t", "x", "n"])
 
         for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column(0):
-                own = _WORD.findall(text.as_py() or "")
-                total += len(own)
-                seen.update(own)
-                if len(seen) > 100_000:
-                    yield found(seen)
-                    seen.clear()
-            yield found(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["t", "n"])
-
-    return docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-
-
-def disclosures(near: DataFrame, docs: DataFrame, scratch: Scratch, threshold: float, least: int) -> DataFrame | None:
-    """(c, t) pairs of an entity and a term that discloses it; None if no term has enough contexts."""
-    together = scratch.put(near.select("c", "t", "x").distinct().groupBy("c", "t").agg(F.count("*").alias("nct")).where(F.col("nct") >= least))
+            for w in words(batch.column(0)):
+                total += len(w.hashes)
+                _, one, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+                terms, caps = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+                for k, i in enumerate(one.tolist()):
+                    term, _ = _term(w.data[w.starts[i] : w.ends[i]].tobytes().decode())
+                    if term:
+                        terms[k] = _hash(term)
+                        caps[k] = powers[terms[k] % FILTER_BITS]
+                at = np.flatnonzero(caps[back])
+                if not len(at):
+                    continue
+                lines = np.sort(np.concatenate((w.offsets, np.flatnonzero(w.data == 10))))
+                first = np.searchsorted(w.starts, lines)
+                line = np.searchsorted(lines, w.starts[at], side="right") - 1
+                lo, hi = np.maximum(at - REACH, first[line]), np.minimum(at + REACH, first[line + 1] - 1)
+                held.append(_few(terms[back[at]], run_hashes(w.hashes, lo, hi).view(np.int64), 1 << (caps[back[at]] - 1)))
+            if sum(len(t) for t, *_ in held) > HELD:
+                held = [merged()]
+                if len(held[0][0]) > HELD // 2:
+                    yield rows(*held[0][:2])
+                    held = []
+        if held:
+            yield rows(*merged()[:2])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["t", "x", "n"])
+
+    met = docs.select("text").mapInArrow(count, "t long, x long, n long")
+    # Contexts first, then terms; the rows of N have neither.
+    return met.groupBy("t", "x").agg(F.sum("n").alias("n")).groupBy("t").agg(F.coalesce(F.sum("n"), F.count("x")).alias("n"))
+
+
+def disclosures(near: DataFrame, docs: DataFrame, scratch: Scratch, threshold: float, n_chars: int) -> DataFrame | None:
+    """(c, t) pairs of an entity and a term that discloses it; None if no entity has a term in reach."""
+    together = near.select("c", "t", "x").distinct().groupBy("c", "t").agg(F.count("*").alias("nct"))
+    alone = near.select("c", "x").distinct().groupBy("c").agg(F.count("*").alias("nc"))
+    together = scratch.put(together.join(alone, "c"))
     if together.isEmpty():
         return None
-    counts = scratch.put(term_counts(docs, together.select("t").distinct()))
-    total = counts.where("t IS NULL").first()["n"]
-    alone = near.select("c", "x").distinct().groupBy("c").agg(F.count("*").alias("nc"))
-    both = together.join(alone, "c").join(counts.withColumnRenamed("n", "nt"), "t")
-    n = F.lit(float(total))
-    pmi, information = F.log(F.col("nct") * n / (F.col("nc") * F.col("nt"))), F.log(n / F.col("nc"))
+    # A disclosure's n(t) is n(c, t) (N / n(c))^(1 - threshold) at most, and N less than the characters.
+    most = F.col("nct") * F.pow(F.lit(float(n_chars)) / F.col("nc"), F.lit(1 - threshold))
+    counts = scratch.put(term_counts(docs, together.groupBy("t").agg(F.max(most).alias("most"))))
+    n = F.lit(float(counts.where("t IS NULL").first()["n"]))
+    both = together.join(counts.select("t", F.col("n").cast("double").alias("nt")), "t").withColumn("nt", F.greatest("nt", "nct"))
+    share, z2 = F.col("nct") / F.col("nt"), DEVIATIONS**2
+    spread = DEVIATIONS * F.sqrt(share * (1 - share) / F.col("nt") + z2 / (4 * F.col("nt") * F.col("nt")))
+    least = (share + z2 / (2 * F.col("nt")) - spread) / (1 + z2 / F.col("nt"))
+    pmi, information = F.log(least * n / F.col("nc")), F.log(n / F.col("nc"))
     return scratch.put(both.where((information > 0) & (pmi >= threshold * information)).select("c", "t"))
 
 
-def find_personal(docs: DataFrame, threshold: float = DISCLOSURE, least: int = LEAST_CONTEXTS) -> DataFrame:
+def find_personal(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     """doc_id, counts of the four kinds, base_sha256, spans and n_terms of every row, repeated ones too.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas. A null
@@ -210,7 +244,8 @@ def find_personal(docs: DataFrame, threshold: float = DISCLOSURE, least: int = L
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), _scan().alias("f"))
     rows = scratch.put(rows.select("doc_id", "key", "f.*"))
     near = rows.where("near IS NOT NULL").select("key", F.explode("near").alias("x")).select("key", "x.*")
-    pairs = disclosures(near, docs, scratch, threshold, least)
+    n_chars = rows.agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
+    pairs = disclosures(near, docs, scratch, threshold, n_chars)
     out = rows.select("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base")
     if pairs is None:
         out = out.withColumn("terms", F.lit(None).cast("array<struct<s:int,e:int>>"))

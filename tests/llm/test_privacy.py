@@ -68,6 +68,20 @@ def test_terms_that_disclose(spark):
     assert all(out[i].spans == "" for i in text if i >= 100 and i != 300)
 
 
+def test_terms_of_one_context_and_of_copies(spark):
+    rng = random.Random(4)
+    filler = lambda n: " ".join(rng.choice(("the", "of", "and", "went", "house", "tree", "river", "stone")) for _ in range(n))
+    once = f"{filler(5)} Zirkon {filler(3)} max@mail.example {filler(4)}"
+    rows = [(1, once), (2, f"{filler(4)} rare {filler(2)} eva@mail.example"), *((10 + i, f"{filler(4)} rare {filler(9)}") for i in range(20))]
+    rows += [(100 + i, filler(200)) for i in range(50)]
+    rows += [(1000 + i, once) for i in range(300)]  # copies count once
+    found = {}
+    for r in find_personal(frame(spark, rows)).collect():
+        found[r.doc_id] = {dict(rows)[r.doc_id][int(s) : int(e)] for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
+    assert all(found[i] == {"Zirkon"} for i in (1, 1000, 1299))
+    assert found[2] == set()
+
+
 def test_contexts_stay_in_reach_and_line():
     text = "far away\nnear, \"Name\" me@x.yz after 4111 tail"
     terms = {text[s:e] for *_, s, e in contexts(text, base_spans(text), 2)}
