@@ -5,7 +5,7 @@ A term (a word without outer punctuation, in lower case) discloses an entity as
 that the entity is near: PMI(term, entity) / information of the entity, between words at most ``REACH``
 words apart in a line. The share of a term's contexts that hold the entity enters at its lower bound, so a
 rare word that stands near an entity by chance is none, and one that stands nowhere else is. Terms at or
-above the disclosure threshold become spans of kind ``term`` wherever they stand in reach of that entity.
+above the disclosure threshold become spans of kind ``term`` in reach of that entity, or in all texts.
 
 Counts: N words of the corpus; n(t), n(c) and n(c, t) different contexts (the words in reach) of a term, of an
 entity, and of an entity with the term, so that copies of a document count once.
@@ -160,6 +160,15 @@ def _few(t: np.ndarray, x: np.ndarray, caps: np.ndarray) -> tuple[np.ndarray, np
     return t[few], x[few], caps[few]
 
 
+def _table(terms: DataFrame, value: Column) -> np.ndarray:
+    """The highest value of the terms (column t) of each cell of the filter; 0 where there is none."""
+    cell = F.pmod("t", F.lit(FILTER_BITS)).cast("int").alias("i")
+    cells = terms.groupBy(cell).agg(F.max(value.cast("byte")).alias("p")).toArrow()  # FILTER_BITS rows at most
+    out = np.zeros(FILTER_BITS, dtype=np.uint8)
+    out[cells.column("i").to_numpy()] = cells.column("p").to_numpy()
+    return out
+
+
 def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(t, n): different contexts in the corpus of at least the candidate terms; and t null with N, all words.
 
@@ -167,10 +176,7 @@ def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     frequent word costs little. A table of fixed size tells each task the words to count and their bounds, rounded
     up to powers of two; each task shuffles the different contexts that it met.
     """
-    power = (F.greatest(F.ceil(F.log2("most")), F.lit(0)) + 1).cast("byte")
-    cells = candidates.groupBy(F.pmod("t", F.lit(FILTER_BITS)).cast("int").alias("i")).agg(F.max(power).alias("p")).toArrow()  # FILTER_BITS rows at most
-    powers = np.zeros(FILTER_BITS, dtype=np.uint8)
-    powers[cells.column("i").to_numpy()] = cells.column("p").to_numpy()
+    powers = _table(candidates, F.greatest(F.ceil(F.log2("most")), F.lit(0)) + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held = 0, []
@@ -232,12 +238,45 @@ def disclosures(near: DataFrame, docs: DataFrame, scratch: Scratch, threshold: f
     return scratch.put(both.where((information > 0) & (pmi >= threshold * information)).select("c", "t"))
 
 
-def find_personal(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, t, s, e) wherever a term (column t) stands as a word in a text, outside base spans."""
+    marks = _table(terms, F.lit(1))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int, int] | None] = {}
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                hits = []
+                for m in _WORD.finditer(text):
+                    word = m.group()
+                    if word not in known:
+                        if len(known) > 100_000:
+                            known.clear()
+                        term, skip = _term(word)
+                        h = _hash(term)
+                        known[word] = (h, skip, skip + len(word.strip(_EDGES))) if term and marks[h % FILTER_BITS] else None
+                    if hit := known[word]:
+                        hits.append((m.start(), m.end(), *hit))
+                spans = base_spans(text) if hits else []
+                rows += [(key, t, lo + s, lo + e) for lo, hi, t, s, e in hits if not any(lo < b and a < hi for _, a, b in spans)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "t", "s", "e"])
+
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    return keyed.mapInArrow(find, "key long, t long, s int, e int").join(terms, "t", "left_semi")
+
+
+def find_personal(docs: DataFrame, threshold: float = DISCLOSURE, everywhere: bool = False) -> DataFrame:
     """doc_id, counts of the four kinds, base_sha256, spans and n_terms of every row, repeated ones too.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas. A null
     text counts as empty and has none; a null doc_id is kept. An empty table gives no rows. Other columns
-    are ignored. Texts go through Python once for patterns and once for counts and are never shuffled.
+    are ignored. A term is marked in reach of the entity that it discloses; with ``everywhere`` also wherever
+    else it stands, in any line or document. Texts go through Python once for patterns, once for counts and, with
+    ``everywhere``, once for marks, and are never shuffled.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -250,7 +289,10 @@ def find_personal(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     if pairs is None:
         out = out.withColumn("terms", F.lit(None).cast("array<struct<s:int,e:int>>"))
     else:
-        hits = near.join(pairs, ["c", "t"]).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("terms"))
+        places = near.join(pairs, ["c", "t"]).select("key", "s", "e")
+        if everywhere:
+            places = places.unionByName(occurrences(docs, scratch.put(pairs.select("t").distinct())).select("key", "s", "e"))
+        hits = places.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("terms"))
         out = out.join(hits, "key", "left")
     part = lambda x, i: F.get(F.split(x, ":"), i)
     order = F.array(*map(F.lit, KINDS))

@@ -82,6 +82,18 @@ def test_terms_of_one_context_and_of_copies(spark):
     assert found[2] == set()
 
 
+def test_terms_are_marked_in_all_texts(spark):
+    rng = random.Random(5)
+    filler = lambda n: " ".join(rng.choice(("the", "of", "and", "went", "house", "tree", "river", "stone")) for _ in range(n))
+    rows = [(i, f"{filler(3)} Zirkon, {filler(3)} max@mail.example {filler(4)}") for i in range(6)]
+    rows += [(100 + i, filler(200)) for i in range(40)]
+    rows += [(200, "own line\nthe (Zirkon) alone, zirkon! again"), (201, "the zirkon@mail.example"), (202, None)]
+    out = {r.doc_id: r for r in find_personal(frame(spark, rows), everywhere=True).collect()}
+    assert all(out[i].n_terms == 1 for i in range(6))
+    assert out[200].spans == "term:14:20,term:29:35" and out[200].n_terms == 2
+    assert out[201].n_terms == 0 and all(out[i].spans == "" for i in (*range(100, 140), 202))
+
+
 def test_contexts_stay_in_reach_and_line():
     text = "far away\nnear, \"Name\" me@x.yz after 4111 tail"
     terms = {text[s:e] for *_, s, e in contexts(text, base_spans(text), 2)}
