@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -77,14 +78,18 @@ def fingerprint_texts(df: DataFrame, text: str = "text", out: str = "fingerprint
 def near_pairs(prints: DataFrame, radius: int = 3, fingerprint: str = "fingerprint") -> DataFrame:
     """(a, b, distance): all pairs of distinct fingerprints within the Hamming radius, a < b.
 
-    A fingerprint is cut into radius + 1 blocks; two within the radius agree in at least one (pigeonhole).
+    A fingerprint is cut into radius + 1 blocks of bits, of nearly equal length (a radius of 256 or more keeps all
+    pairs); two within the radius agree in at least one (pigeonhole).
     Each block has its table, keyed by the block's value; a pair is kept only by the first block that it
     agrees in, so none is found twice. Equal fingerprints are one; nulls are left out. Joins are on
     (block, value): a value that many distinct fingerprints share is split by the adaptive skew join.
     """
-    step = -(-64 // (radius + 1))
+    n = radius + 1
+    cuts = [i * BITS // n for i in range(n + 1)] if n <= BITS else [0, 0]  # an empty block is common to all
     one = prints.where(F.col(fingerprint).isNotNull()).select(F.col(fingerprint).alias("a")).distinct()
-    blocks = F.array(*(F.substring("a", i * step + 1, step) for i in range(-(-64 // step))))
+    binary = F.concat(*(F.lpad(F.conv(F.substring("a", i, 8), 16, 2), 32, "0") for i in range(1, 64, 8)))
+    one = one.withColumn("bits", binary)
+    blocks = F.array(*(F.substring("bits", lo + 1, hi - lo) for lo, hi in pairwise(cuts)))
     left = one.select("a", blocks.alias("ab"), F.posexplode(blocks).alias("block", "key"))
     right = left.select(F.col("a").alias("b"), F.col("ab").alias("bb"), "block", "key")
     met = left.join(right, ["block", "key"]).where("a < b")

@@ -52,6 +52,18 @@ def test_near_pairs_against_all_pairs(spark, radius):
     assert {(r.a, r.b): r.distance for r in rows} == want
 
 
+@pytest.mark.parametrize("radius", [8, 40, 63, 255, 256])
+def test_near_pairs_with_a_bit_flipped_in_every_block(spark, radius):
+    # One bit in each of radius even blocks, the worst case for as many blocks, and one bit more.
+    flips = [i * 256 // radius for i in range(radius)]
+    planted = [0, sum(1 << (255 - i) for i in flips), sum(1 << (255 - i) for i in {*flips, 1, 3})]
+    prints = spark.createDataFrame([(f"{x:064x}",) for x in planted], "fingerprint string")
+    d = {(f"{x:064x}", f"{y:064x}"): (x ^ y).bit_count() for x in planted for y in planted if x < y}
+    want = {k: n for k, n in d.items() if n <= radius}
+    assert radius in want.values()
+    assert {(r.a, r.b): r.distance for r in near_pairs(prints, radius).collect()} == want
+
+
 def test_odd_and_empty_tables(spark):
     rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
     for n in (1, 3, 1000):
