@@ -1,9 +1,9 @@
-"""Operator 8, n-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""Operator 8, n-gram Jaccard join: MinHash banding, then exact verification.
 
 Documents are sets of runs of five words (hashed to 64 bits; a text of one to four words is one run).
-Each tree of the forest is a trie of the documents' labels, ``DEPTH`` min-hashes long. Two documents meet
-in a tree if their labels share a prefix; the prefix is shortened from full depth until the expected
-recall at the threshold over all trees reaches the target. Equal texts are one node, so copies multiply
+Fixed-depth banding stands in for the forest: a document has a key of a few min-hashes for each tree, and two
+documents meet in a tree if their keys are equal. The depth is the largest up to ``DEPTH`` whose expected recall
+at the threshold over all trees reaches the target; it reads no data, and no prefix is shortened later. Equal texts are one node, so copies multiply
 no work. Nodes that share a prefix are linked to the least of them, connected components of these links
 are the candidate groups, and within a group every pair whose sizes allow it is verified exactly, in
 blocks: a group of m nodes is dealt over about (m / BLOCK)^2 / 2 tasks of bounded size, and a task gives
@@ -34,7 +34,7 @@ _B = (mix(np.arange(1001, TREES * DEPTH + 1001, dtype=U)) >> U(32)).astype(np.ui
 
 
 def depth_for(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which a pair at the threshold is met with the wanted probability; 1 at least."""
+    """The greatest depth at which a pair at the threshold is met with the wanted probability; 1 at least."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
