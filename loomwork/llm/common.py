@@ -17,12 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 class Scratch:
     """Tables written to the folder in spark.checkpoint.dir, which cut a plan's lineage.
 
-    They outlive the loss of executors. ``drop`` frees one early; the rest goes when the driver ends.
-    Only in local mode may the setting be missing; a temporary folder serves then.
+    They outlive the loss of executors. ``drop`` frees one early, ``free_since`` what was made after a ``mark``, once
+    the results that read it are written; the rest goes when the driver ends. Only in local mode may the setting be
+    missing; a temporary folder serves then.
     """
 
+    _made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
+        self._made.append(self)
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             if not spark.sparkContext.master.partition("[")[0] == "local":
@@ -39,8 +43,20 @@ class Scratch:
         out._scratch = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        self._delete(df._scratch)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self._delete(df._scratch)
+
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls._made)
+
+    @classmethod
+    def free_since(cls, mark: int) -> None:
+        """Delete the tables of all folders made since the mark."""
+        for one in cls._made[mark:]:
+            one._clear()
+        del cls._made[mark:]
 
     def _delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -59,16 +75,23 @@ def slice_of(hash64: Column, n: int) -> Column:
     return F.shiftright(high * F.lit(n).cast("long"), 31).cast("long")
 
 
+#: Pieces of a part that are summed to one before the parts' own running sums.
+PIECES = 1024
+
+
 def prefix_sum(df: DataFrame, part: list[str], piece: str, order: list[Column], weight: Column, out: str) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows of the same ``part`` that come before.
 
-    Rows are ordered by ``piece``, then ``order``. Sums a (part, piece) come first, so a task holds one
-    piece at a time and a part of any size is spread over tasks. Key columns must not be null.
+    Rows are ordered by ``piece``, then ``order``. Sums a (part, piece) come first, then sums of ``PIECES`` pieces, so
+    a task holds one piece, or so many pieces, or one row in so many pieces of a part. Key columns must not be null.
     """
     weighted = df.withColumn("__w", weight.cast("long"))
-    sums = weighted.groupBy(*part, piece).agg(F.sum("__w").alias("__s"))
-    before = Window.partitionBy(*part).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*part, piece, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__b"))
+    sums = weighted.groupBy(*part, piece).agg(F.sum("__w").alias("__s")).withColumn("__p", F.expr(f"{piece} div {PIECES}"))
+    past = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda keys, by: F.coalesce(F.sum("__s").over(past(keys, by)), F.lit(0))
+    large = sums.groupBy(*part, "__p").agg(F.sum("__s").alias("__s")).select(*part, "__p", before(part, "__p").alias("__l"))
+    small = sums.select(*part, "__p", piece, before([*part, "__p"], piece).alias("__m"))
+    sums = small.join(large, [*part, "__p"]).select(*part, piece, (F.col("__l") + F.col("__m")).alias("__b"))
     inside = Window.partitionBy(*part, piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = weighted.join(sums, [*part, piece])
     return joined.withColumn(out, F.col("__b") + F.coalesce(F.sum("__w").over(inside), F.lit(0))).drop("__b", "__w")

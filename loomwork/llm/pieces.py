@@ -16,18 +16,24 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from loomwork.llm.vectors import release_memory
 
 MARK = "▁"
-#: Parts whose ids a worker remembers, twice over, and characters that are indexed at a time.
-REMEMBER, INDEX_CHARS = 250_000, 500_000
+#: Parts whose ids a task remembers, twice over, their most characters, and characters that are indexed at a time.
+REMEMBER, SHORT, INDEX_CHARS = 150_000, 40, 500_000
+#: Characters of texts that are encoded, decoded and handed on at a time.
+SLICE_CHARS = 2_000_000
 
 
 @dataclass
@@ -141,7 +147,7 @@ def _renumbered(key: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes and decodes on a worker; remembers the ids of parts."""
+    """Encodes and decodes on a worker; remembers the ids of short parts until it is told to forget."""
 
     def __init__(self, p: Pieces) -> None:
         self.p = p
@@ -165,8 +171,12 @@ class Encoder:
         # Most pairs don't merge: a small table of marks settles those.
         self.marks = np.zeros(1 << 20, dtype=bool)
         self.marks[self._mark(p.pair_keys)] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.long: dict[str, bytes] = {}  # of the texts at hand only
 
     def _ids(self, symbols: list[str]) -> bytes:
         out: list[int] = []
@@ -213,17 +223,21 @@ class Encoder:
                 new, room = {}, 0
         self._learn(list(new))
         for ids, at, part in open_parts:
-            ids[at] = self.known[part]
+            ids[at] = self._keep(part)[part]
         out = [b"".join(ids) for ids in done]
+        self.long = {}
         if len(self.known) > REMEMBER:  # what the next generation uses is carried over to it
             self.known, self.older = {}, self.known
         return out
 
+    def _keep(self, part: str) -> dict[str, bytes]:
+        return self.known if len(part) <= SHORT else self.long
+
     def _learn(self, parts: list[str]) -> None:
         plain = []
         for part in parts:
             if part.startswith("  "):
-                self.known[part] = self._ids([s for s, _ in merge(part.replace(" ", MARK), self.ids, self.p.rank)])
+                self._keep(part)[part] = self._ids([s for s, _ in merge(part.replace(" ", MARK), self.ids, self.p.rank)])
             else:
                 plain.append(part)
         if plain:
@@ -341,7 +355,7 @@ class Encoder:
         ends = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(place, begin + size, side="right")] * 4
         flat, lo = out.tobytes(), 0
         for part, hi in zip(parts, ends.tolist(), strict=True):
-            self.known[part] = flat[lo:hi]
+            self._keep(part)[part] = flat[lo:hi]
             lo = hi
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
@@ -370,30 +384,20 @@ def _encoder(p: Pieces, key: str) -> Encoder:
     return _workers[key]
 
 
-def _batches(texts: pa.Array, chars: int = 2_000_000) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        t = t.as_py() or ""
-        held.append(t)
-        size += len(t)
-        if size > chars:
-            yield held
-            held, size = [], 0
-    yield held
+def _slices(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so many characters; one row at least."""
+    size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    at = np.concatenate(([0], np.cumsum(size)))
+    lo, n = 0, len(size)
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + chars, side="right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
-def encode_column(text: Column, model: str) -> Column:
-    """Ids (array<int>) of a text column; a null text has none."""
-    p = load(model)
-
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        enc = _encoder(p, model)
-        done = [x for part in _batches(texts) for x in enc.encode(part)]
-        at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in done]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(done), dtype=np.int32)))
-
-    return encode(text)
+def _lists(ids: list[bytes]) -> pa.Array:
+    at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
 
 
 def decode_column(ids: Column, model: str) -> Column:
@@ -409,12 +413,31 @@ def decode_column(ids: Column, model: str) -> Column:
     return decode(ids)
 
 
-def encode_documents(docs: DataFrame, model: str) -> DataFrame:
-    """All columns of ``docs`` with ``ids``, ``n_tokens`` and ``round_trip``; every row stays, texts whole.
+def encode_documents(docs: DataFrame, model: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with ``ids``, ``n_tokens`` and ``round_trip``; every row stays, texts whole.
 
     A null text counts as empty and has no ids. ``round_trip`` tells whether decoding gives the text back; it
-    doesn't for texts that hold the word mark U+2581, which decodes to a blank. An empty table gives no rows.
-    One narrow stage; the model is read on the driver and sent along.
+    doesn't for texts that hold the word mark U+2581, which decodes to a blank. Columns of ``docs`` with one of the
+    three names are replaced. An empty table gives no rows. One narrow stage; the model is read on the driver and
+    sent along. What a task remembers of parts goes at its end.
     """
-    coded = docs.withColumn("ids", encode_column(F.col("text"), model)).withColumn("n_tokens", F.size("ids").cast("long"))
-    return coded.withColumn("round_trip", decode_column(F.col("ids"), model) == F.coalesce("text", F.lit("")))
+    p, made = load(model), ("ids", "n_tokens", "round_trip")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    given = docs.select(*kept, F.coalesce("text", F.lit("")).alias("__text"))
+    schema = StructType([*docs.select(*kept).schema.fields, *StructType.fromDDL("ids array<int>, n_tokens long, round_trip boolean").fields])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(p, model)
+        for batch in batches:
+            for lo, hi in _slices(batch.column("__text"), SLICE_CHARS):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column("__text").to_pylist()
+                ids = _lists(enc.encode(texts))
+                back = enc.decode(ids.values.to_numpy(), ids.offsets.to_numpy())
+                right = pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())
+                del texts, back
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, ids.value_lengths().cast(pa.int64()), right], names=[*kept, *made])
+        enc.forget()
+        release_memory()
+
+    return given.mapInArrow(code, schema)

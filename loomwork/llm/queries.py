@@ -61,7 +61,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of every document's ids, and whether they decode to the text."""
-    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
+    coded = encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL, keep=["doc_id"])
     return coded.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 

@@ -21,17 +21,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.vectors import U, mix, powers
+from loomwork.llm.vectors import STEP, U, mix, span_hashes
 
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
 WINDOW = 32
-#: Labelled documents of either class that the model is fitted on, at most.
-SAMPLE_PER_CLASS = 2000
-#: One in so many sampled documents calibrates and isn't trained on.
+#: Labelled documents of either class that the model is fitted on, at most, and UTF-8 bytes of all their texts: in
+#: the order of the hashes of their ids, documents are taken whole until the next one would exceed a class's half.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 2000, 32_000_000
+#: One in so many sampled documents of either class calibrates and isn't trained on.
 CALIBRATE = 5
-#: A bucket takes part if so many training texts have it; rarer ones could only be learned by heart.
+#: A bucket takes part if so many training texts have it, at most half a class; rarer ones could only be learned by heart.
 LEAST_TEXTS = 4
 ROUNDS = 3
 STEPS, RATE, MOMENTUM, SCALE = 80, 0.25, 0.9, 32.0
@@ -65,21 +66,19 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def _gram_buckets(code: np.ndarray, n: int) -> np.ndarray:
     """The bucket of the n-gram that starts at each place."""
-    sums, inverse = _sums(code)
-    return ((mix((sums[n:] - sums[:-n]) * inverse[: len(code) - n + 1] + U(n)) >> U(40)) % U(BUCKETS)).astype(np.int32)
+    size = max(0, len(code) - n + 1)
+    total = np.full(size, n, dtype=U)
+    for j in range(n):
+        total += code[j : j + size] * STEP[j]
+    return _bucket(mix(total))
 
 
-def _sums(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    power, inverse = powers(len(code))
-    sums = np.zeros(len(code) + 1, dtype=U)
-    np.cumsum(code * power[: len(code)], out=sums[1:])
-    return sums, inverse
+def _word_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hashes(code.astype("<u4").view(np.uint8), starts * 4, ends * 4, lanes=8)
 
 
-def _word_buckets(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums, inverse = _sums(code)
-    h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)
-    return ((mix(h) >> U(40)) % U(BUCKETS)).astype(np.int32)
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> U(40)) % U(BUCKETS)).astype(np.int32)
 
 
 def _runs_of(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
@@ -100,8 +99,7 @@ def bags(texts: list[str]) -> Bags:
     known, feats, sizes, hashes, first = np.zeros(0, dtype=U), [], [], [], [np.zeros(1, np.int64)]
     for run in _runs_of(texts):
         code, starts, ends, at = _codes(run)
-        sums, inverse = _sums(code)
-        h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)
+        h = _word_hashes(code, starts, ends)
         hashes.append(h)
         first.append(first[-1][-1] + at[1:])
         found, one = np.unique(h, return_index=True)
@@ -109,7 +107,7 @@ def bags(texts: list[str]) -> Bags:
         known, one = np.concatenate((known, found[fresh])), one[fresh]
         starts, ends = starts[one], ends[one]
         length = ends - starts
-        parts, owners = [_word_buckets(code, starts, ends)], [np.arange(len(starts))]
+        parts, owners = [_bucket(h[one])], [np.arange(len(starts))]
         for n in GRAMS:
             count = np.maximum(length + 3 - n, 0)
             word = np.repeat(np.arange(len(starts)), count)
@@ -137,6 +135,14 @@ def common_buckets(b: Bags, least: int) -> np.ndarray:
     return seen >= least
 
 
+def only_buckets(b: Bags, usable: np.ndarray) -> Bags:
+    """The bags without the buckets that take no part; a word's own bucket, its first, always stays."""
+    keep = usable[b.feats]
+    keep[b.ptr[:-1]] = True
+    sizes = np.add.reduceat(keep.astype(np.int64), b.ptr[:-1]) if len(b.ptr) > 1 else np.zeros(0, np.int64)
+    return Bags(b.feats[keep], np.concatenate(([0], np.cumsum(sizes))), b.words, b.first)
+
+
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Values of each of the sorted keys."""
     some, at = np.unique(keys, return_index=True)
@@ -155,9 +161,8 @@ class Model:
         """The logit part and the hash of every word, and the bounds of each text's words."""
         code, starts, ends, first = _codes(texts)
         length = ends - starts
-        sums, inverse = _sums(code)
-        ids = (sums[ends] - sums[starts]) * inverse[starts]
-        total, n = self.effect[_word_buckets(code, starts, ends)].astype(np.float64), np.ones(len(starts))
+        ids = _word_hashes(code, starts, ends)
+        total, n = self.effect[_bucket(ids)].astype(np.float64), np.ones(len(starts))
         for k in GRAMS:
             if len(code) < k:
                 continue
@@ -198,23 +203,33 @@ def _windows(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (words * new).sum(axis=1) / np.maximum(new.sum(axis=1), WINDOW // 2) * SCALE
 
 
-def _train(b: Bags, usable: np.ndarray, windows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
-    """Gradient descent on embeddings, softmax difference and offset together; returns (bucket effects, offset)."""
+def start(seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Embeddings, softmax difference and offset before training."""
     rng = np.random.default_rng(seed)
-    emb, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, DIM), 0.0
+    return rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, DIM), 0.0
+
+
+def _train(
+    b: Bags, n_feats: np.ndarray, usable: np.ndarray, windows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int, steps: int = STEPS
+) -> tuple[np.ndarray, float]:
+    """Gradient descent on embeddings, softmax difference and offset together; returns (bucket effects, offset).
+
+    ``n_feats`` is how many buckets each word has, those included that ``usable`` leaves out.
+    """
+    emb, soft, bias = start(seed)
     words = np.concatenate(windows)
     size = np.array([len(w) for w in windows])
     at = np.cumsum(size) - size
     share = np.maximum(size, WINDOW // 2)
-    n_feats = np.diff(b.ptr)
+    held = np.diff(b.ptr)
     m_emb, m_soft, m_bias = np.zeros_like(emb), np.zeros_like(soft), 0.0
-    for step in range(STEPS):
+    for step in range(steps):
         effect = emb @ soft * usable
         each = np.add.reduceat(effect[b.feats], b.ptr[:-1]) / n_feats
         z = np.add.reduceat(each[words], at) / share * SCALE + bias
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         by_word = np.bincount(words, np.repeat(g / share * SCALE, size), len(n_feats)) / n_feats
-        by_feat = np.bincount(b.feats, np.repeat(by_word, n_feats), BUCKETS) * usable
+        by_feat = np.bincount(b.feats, np.repeat(by_word, held), BUCKETS) * usable
         g_emb, g_soft = np.outer(by_feat, soft), emb.T @ by_feat
         rate = RATE * (1 - step / STEPS)
         m_emb = MOMENTUM * m_emb + (1 - MOMENTUM) * g_emb / (np.abs(g_emb).max() + 1e-12)
@@ -227,16 +242,25 @@ def _train(b: Bags, usable: np.ndarray, windows: list[np.ndarray], y: np.ndarray
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
-    """Train on labelled texts; without both classes the model scores 0 for every text."""
-    y = np.array(toxic)
-    keep = [i for i, t in enumerate(texts) if t]
-    texts, y = [texts[i] for i in keep], y[keep] if len(keep) else y[:0]
-    held = np.arange(len(texts)) % CALIBRATE == 0
-    if len(texts) < 20 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+    """Train on labelled texts. Without both classes nothing tells them apart, and the model scores 0 for every text.
+
+    A class of a single text both trains and calibrates, as then all texts do.
+    """
+    y = np.array(toxic, dtype=np.int64)
+    keep = np.array([i for i, t in enumerate(texts) if (_codes([t])[1]).size], dtype=np.int64)
+    texts, y = [texts[i] for i in keep], y[keep]
+    if len(set(y)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, (-30.0, 0.0, 0.0))
-    train = np.flatnonzero(~held)
+    rank = np.zeros(len(y), dtype=np.int64)
+    for c in (0, 1):
+        rank[y == c] = np.arange((y == c).sum())
+    held, train = np.flatnonzero(rank % CALIBRATE == 0), np.flatnonzero(rank % CALIBRATE != 0)
+    if len(set(y[train])) < 2:
+        held = train = np.arange(len(y))
     b = bags([texts[i] for i in train])
-    usable = common_buckets(b, LEAST_TEXTS)
+    least = max(1, min(LEAST_TEXTS, np.bincount(y[train]).min() // 2))  # a class of a few texts has few in common
+    usable, n_feats = common_buckets(b, least), np.diff(b.ptr)
+    b = only_buckets(b, usable)
     runs, owner = [], []
     for k in range(len(train)):
         if b.first[k] < b.first[k + 1]:
@@ -255,14 +279,14 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
     use = np.ones(len(runs), dtype=bool)
     for turn in range(ROUNDS):
         pick = np.flatnonzero(use)
-        effect, bias = _train(b, usable, [runs[i] for i in pick], label[owner[pick]].astype(float), balanced(use)[pick], seed + turn)
-        each = np.add.reduceat(effect[b.feats].astype(np.float64), b.ptr[:-1]) / np.diff(b.ptr)
+        effect, bias = _train(b, n_feats, usable, [runs[i] for i in pick], label[owner[pick]].astype(float), balanced(use)[pick], seed + turn)
+        each = np.add.reduceat(effect[b.feats].astype(np.float64), b.ptr[:-1]) / n_feats
         z = np.array([each[r].sum() / max(len(r), WINDOW // 2) for r in runs]) * SCALE + bias
         top = np.full(len(train), -np.inf)
         np.maximum.at(top, owner, z)
         use = (label[owner] == 0) | (z >= np.minimum(0.6 * top[owner], top[owner]))
     model = Model(effect, bias, (0.0, 1.0, 0.0))
-    return Model(effect, bias, _calibrate(model, [texts[i] for i in np.flatnonzero(held)], y[held]))
+    return Model(effect, bias, _calibrate(model, [texts[i] for i in held], y[held]))
 
 
 def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> np.ndarray:
@@ -293,18 +317,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
+def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on at most ``per_class`` labelled documents of either class, those with the least hashes of their ids.
 
-    Labels of held-out ids, null labels and null ids are left out; of several labels of an id the highest counts.
+    Labels of held-out ids, null labels and null ids are left out; of several labels of an id the highest counts, of
+    several texts the shortest, then the least. Their texts have ``max_bytes`` at most, half of it for either class: a
+    document that doesn't fit ends its class. The driver first gets ids and sizes, then the texts that were chosen.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    ids = some(0).unionByName(some(1))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()  # the sample has a bound
-    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
+    ids = some(0).unionByName(some(1))  # 2 * per_class rows
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = texts.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("th")).join(F.broadcast(ids), "doc_id")
+    one = own.groupBy("doc_id", "toxic").agg(F.min(F.struct("size", "th")).alias("k"))
+    rows = one.select("doc_id", "toxic", "k.size", "k.th", F.xxhash64("doc_id").alias("at")).collect()
+    chosen = []
+    for c in (0, 1):
+        room = max_bytes // 2
+        for r in sorted((r for r in rows if r["toxic"] == c), key=lambda r: (r["at"], r["doc_id"])):
+            room -= r["size"]
+            if room < 0:
+                break
+            chosen.append((r["doc_id"], r["th"], c))
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(chosen, "doc_id long, th long, toxic int"))
+    found = texts.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    sample = sorted(found.collect(), key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"]))
+    return fit([r["text"] for r in sample], [r["toxic"] for r in sample])
 
 
 def score_column(model: Model, text: Column) -> Column:
@@ -329,7 +369,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     """doc_id, held_out, score and predicted of every row, repeated ones too.
 
     A null text counts as empty, and a text without words scores 0, as every text does when the sample
-    lacks a class or has under 20 rows. An empty table gives no rows. Other columns are ignored.
+    lacks a class. An empty table gives no rows. Other columns are ignored.
     """
     model = fit_labelled(docs, labels, per_class)
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model, F.col("text")).alias("score"))

@@ -1,31 +1,37 @@
 """Word and shingle hashes of whole Arrow string columns, with numpy and without a Python string a word.
 
-A word's hash is a polynomial in its bytes modulo 2**64 with an odd base, read from running sums, then
-mixed. Work goes in chunks of about a megabyte of text, so memory follows the largest single text.
+A word's hash takes its bytes eight at a time, each mixed into the state before the next; one of more than
+``LANES`` times eight bytes gets its xxh3 digest. No algebra of the bytes carries over to the hashes, so texts
+can't be built to collide by shape. Work goes in chunks of about a megabyte of text, so memory follows the
+largest single text.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Spans of so many times eight bytes are hashed in numpy, longer ones one by one.
+LANES = 4
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base and its inverse to the powers 0 to n."""
-    if not _powers or len(_powers[0]) <= n:
-        _powers[:] = [np.multiply.accumulate(np.concatenate(([U(1)], np.full(max(n, CHUNK), U(b))))) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+def release_memory() -> None:
+    """Give the worker's free memory back to the system at the end of a task; the next task may be another operator's."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,12 +44,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+#: Odd factors of the places of a short run.
+STEP = mix(np.arange(1, 65, dtype=U) * U(_BASE)) | U(1)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int = LANES) -> np.ndarray:
     """A hash of each span of bytes; equal bytes give equal hashes wherever they stand."""
-    power, inverse = powers(len(data))
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    size = ends - starts
+    out = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + U(_BASE))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    live = np.arange(len(size))
+    for at in range(0, 8 * lanes, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        lane = eight[starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]
+        out[live] = mix((out[live] ^ lane) * U(0xA24BAED4963EE407) + U(at))
+    whole = memoryview(padded)
+    for i in live[size[live] > 8 * lanes].tolist():
+        out[i] = xxhash.xxh3_64_intdigest(whole[starts[i] : ends[i]])
+    return out
+
+
+def run_hashes(items: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each run of item hashes, from place first to last; equal runs give equal hashes wherever they stand."""
+    flat = np.ascontiguousarray(items, dtype=U).view(np.uint8)
+    return span_hashes(flat, first * 8, (last + 1) * 8)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +123,6 @@ def words(column: pa.Array, limit: int = CHUNK) -> Iterator[Words]:
         yield Words(lo, hi, data, offsets, begins, ends, span_hashes(data, begins, ends), np.searchsorted(begins, offsets))
 
 
-_STEP = mix(np.arange(1, 65, dtype=U) * U(_BASE))
-
-
 def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words, and rows + 1 bounds. A text of fewer words has one run of them all."""
     counts = w.counts
@@ -110,13 +134,13 @@ def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
         total = len(w.hashes) - size + 1
         acc = np.zeros(total, dtype=U)
         for j in range(size):
-            acc += w.hashes[j : j + total] * (_STEP[j] | U(1))
+            acc += w.hashes[j : j + total] * STEP[j]
         row = np.repeat(np.flatnonzero(full), n_out[full])
         inside = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(n_out[full])))[:-1], n_out[full])
         out[bounds[row] + inside] = acc[w.first[row] + inside]
     for i in np.flatnonzero((counts > 0) & ~full):
         h = w.hashes[w.first[i] : w.first[i + 1]]
-        terms = np.append(h, U(len(h))) * np.append(_STEP[: len(h)] | U(1), U(0xA24BAED4963EE407))
+        terms = np.append(h, U(len(h))) * np.append(STEP[: len(h)], U(0xA24BAED4963EE407))
         out[bounds[i]] = terms.sum()
     return mix(out), bounds
 

@@ -38,3 +38,9 @@ def texts(spark):
 
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("src1"))
+
+
+def thue_morse(n):
+    """Two words of n characters whose polynomial hashes modulo 2**64 are equal whatever the base."""
+    bits = [k.bit_count() % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

@@ -5,8 +5,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.llm import common
 from loomwork.llm.common import Scratch, components, prefix_sum, slice_of
-from loomwork.llm.vectors import shingles, words
+from loomwork.llm.vectors import run_hashes, shingles, span_hashes, words
+from tests.llm.helpers import thue_morse
 from tests.llm.test_quality import WORD
 
 
@@ -73,3 +75,41 @@ def test_sliced_columns():
     whole = pa.array(["a b", "c", None, "d e f"], pa.string())
     counts = [np.diff(w.first).tolist() for w in words(whole.slice(1, 3))]
     assert counts == [[1, 0, 3]]
+
+
+def test_spans_hash_alike_only_if_their_bytes_are_equal():
+    rng = random.Random(7)
+    spans = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 70))) for _ in range(3000)] + [*thue_morse(1024), *thue_morse(2048), *thue_morse(4096)]
+    data = np.frombuffer("".join(spans).encode(), np.uint8)
+    ends = np.cumsum([len(x) for x in spans])
+    found = {}
+    for lanes in (4, 8):
+        for x, h in zip(spans, span_hashes(data, ends - [len(x) for x in spans], ends, lanes).tolist(), strict=True):
+            assert found.setdefault((lanes, x), h) == h
+        assert len({h for (k, _), h in found.items() if k == lanes}) == len(set(spans))
+    items = np.array([rng.randrange(3) for _ in range(200)], dtype=np.uint64)
+    first = np.array([rng.randrange(190) for _ in range(500)])
+    last = first + [rng.randrange(10) for _ in range(500)]
+    by_run = {}
+    for s, e, h in zip(first, last, run_hashes(items, first, last).tolist(), strict=True):
+        assert by_run.setdefault(tuple(items[s : e + 1]), h) == h
+    assert len(set(by_run.values())) == len(by_run)
+
+
+def test_prefix_sums_over_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(common, "PIECES", 3)
+    df = spark.range(400).withColumn("part", F.lit(0)).withColumn("piece", F.col("id") % 50)
+    got = {r.id: r.before for r in prefix_sum(df, ["part"], "piece", [F.col("id")], F.col("id"), "before").collect()}
+    total = 0
+    for i in sorted(range(400), key=lambda i: (i % 50, i)):
+        assert got[i] == total
+        total += i
+
+
+def test_tables_are_freed(spark):
+    mark = Scratch.mark()
+    kept = Scratch(spark).put(spark.range(3))
+    Scratch.free_since(mark)
+    assert Scratch.mark() == mark
+    with pytest.raises(Exception, match=r"(?i)not.*exist|not.*found"):
+        kept.collect()

@@ -1,9 +1,13 @@
 import random
+import time
+from hashlib import blake2b
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm.linededup import common_blocks, dedup_lines, hashed_lines, least_runs, patience
-from tests.llm.helpers import documents, empty, frame, odd, texts
+from tests.llm.helpers import documents, empty, frame, odd, texts, thue_morse
 
 
 def line(k):
@@ -14,21 +18,63 @@ def result(spark, rows):
     return {(r.doc_id, r.n_lines): (r.text, r.n_deleted) for r in dedup_lines(frame(spark, rows)).collect()}
 
 
-def test_against_brute_force(spark):
-    real = texts(spark)
-    lines = {i: t.split("\n") for i, t in sorted(real.items())}
-    first = {}
-    for i, ls in lines.items():
-        for x in ls:
-            if len(x.split()) >= 5:
-                first.setdefault(x, i)
-    for r in dedup_lines(documents(spark)).collect():
-        own = lines[r.doc_id]
+def plain(texts, least=5):
+    """Texts without the lines that stand in a run of lines of ``least`` words which an earlier text has, by searching for each."""
+    out, before = [], []
+    for text in texts:
+        lines = text.split("\n")
         gone = set()
-        for f in {first[x] for x in own if len(x.split()) >= 5} - {r.doc_id}:
-            gone |= set(common_blocks(lines[f], own, [len(x.split()) for x in own]))
-        assert r.text == "\n".join(x for k, x in enumerate(own) if k not in gone)
-        assert (r.n_lines, r.n_deleted) == (len(own), len(gone))
+        for j in range(len(lines)):
+            for s in range(j, -1, -1):
+                e = j
+                while e < len(lines) and len(" ".join(lines[s : e + 1]).split()) < least:
+                    e += 1
+                if e < len(lines):
+                    run = "\n" + "\n".join(lines[s : e + 1]) + "\n"
+                    if any(run in b for b in before):
+                        gone.add(j)
+                    if j in gone or e == j:
+                        break  # longer runs hold this one
+        out.append(("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)))
+        before.append(f"\n{text}\n")
+    return out
+
+
+def test_documents_against_brute_force(spark):
+    real = sorted(texts(spark).items())
+    want = {i: w for (i, _), w in zip(real, plain([t for _, t in real]), strict=True)}
+    assert {r.doc_id: (r.text, r.n_lines, r.n_deleted) for r in dedup_lines(documents(spark)).collect()} == want
+    assert sum(w[2] for w in want.values()) > 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_moved_and_short_lines_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = ["", " ", "one", "two words", "three more words", "here are four words", "now these are five words", "x", "y"]
+    made = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(40)]
+    made += ["\n".join(rng.sample(t.split("\n"), len(t.split("\n")))) for t in made[:10]] + made[:5]
+    rows = list(enumerate(made))
+    want = dict(enumerate(plain(made)))
+    assert {r.doc_id: (r.text, r.n_lines, r.n_deleted) for r in dedup_lines(frame(spark, rows)).collect()} == want
+
+
+def test_blocks_between_later_documents(spark):
+    header = line(1)
+    rows = [(1, header), (2, f"{header}\nshort x\nshort y"), (3, f"{header}\nshort x\nshort y")]
+    assert result(spark, rows) == {(1, 1): (header, 0), (2, 3): ("short x\nshort y", 1), (3, 3): ("", 3)}
+
+
+def test_unlike_lines_of_equal_polynomials_stay(spark):
+    one, other = thue_morse(4096)
+    got = result(spark, [(1, f"a b c d {one}"), (2, f"a b c d {other}\nend")])
+    assert got[(2, 2)] == (f"a b c d {other}\nend", 0)
+
+
+def test_reversed_lines_take_linear_time():
+    lines = [line(k) for k in range(20_000)]
+    began = time.time()
+    assert common_blocks(lines, lines[::-1], [7] * len(lines)) == list(range(len(lines)))
+    assert time.time() - began < 20
 
 
 def test_blocks_copies_and_moves(spark):
@@ -98,7 +144,15 @@ def test_line_hashes_and_word_counts(spark):
     rows = [(1, "a b\n\nc"), (2, ""), (3, None), (4, "\n"), (5, "x\ty\x0b z\n"), (6, "a b")]
     got = {r.doc_id: r for r in hashed_lines(frame(spark, rows)).collect()}
     assert {i: r.n_words for i, r in got.items()} == {1: [2, 0, 1], 2: [0], 3: [0], 4: [0, 0], 5: [3, 0], 6: [2]}
-    assert got[1].lines[0] == got[6].lines[0] and got[1].lines[1] == got[4].lines[0]
+    digest = lambda i, k: bytes(got[i].lines[16 * k : 16 * k + 16])
+    assert digest(1, 0) == digest(6, 0) == blake2b(b"a b", digest_size=16).digest() and digest(1, 1) == digest(4, 0)
+
+
+def test_columns_of_the_counts_names(spark):
+    df = frame(spark, [(1, line(1)), (2, line(1))]).withColumn("n_lines", F.lit(9)).withColumn("n_deleted", F.lit(9))
+    assert sorted((r.doc_id, r.n_lines, r.n_deleted) for r in dedup_lines(df).collect()) == [(1, 1, 0), (2, 1, 1)]
+    other = dedup_lines(df, counts=("a", "b"))
+    assert sorted((r.n_lines, r.n_deleted, r.a, r.b) for r in other.collect()) == [(9, 9, 1, 0), (9, 9, 1, 1)]
 
 
 def test_odd_and_empty_tables(spark):
