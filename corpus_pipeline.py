@@ -30,10 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; one that has lost all its words goes."""
-    left = dedup_lines(docs)
-    left = left.where((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = dedup_lines(docs, counts=("__lines", "__deleted"))
+    left = left.where((F.col("__deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_deleted") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast("long"))
+        left = left.withColumn("n_chars", F.when(F.col("__deleted") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast("long"))
     return left.select(*docs.columns)
 
 
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids and round_trip of every document."""
-    coded = encode_documents(docs.select("doc_id", "source", "lang", "text"), PIECE_MODEL)
+    coded = encode_documents(docs, PIECE_MODEL, keep=["doc_id", "source", "lang"])
     return coded.select("doc_id", "source", "lang", "n_tokens", "ids", "round_trip")
 
 
@@ -66,9 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
+    """All stages over the documents, each written and read again; a stage's own tables go once it is written."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        mark, before = Scratch.mark(), docs
         docs = scratch.put(stage(spark, docs, sf_dir))
+        Scratch.free_since(mark)
+        if k:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
