@@ -3,18 +3,22 @@
 Emails, addresses, card and phone numbers are found by pattern. Each distinct one is a protected entity.
 A term (a word without outer punctuation, in lower case) discloses an entity as far as its presence tells
 that the entity is near: PMI(term, entity) / information of the entity, between words at most ``REACH``
-words apart in a line. The share of a term's contexts that hold the entity enters at its lower bound, so a
+words apart in a line. The share of a term's occurrences that have the entity near enters at its lower bound, so a
 rare word that stands near an entity by chance is none, and one that stands nowhere else is. Terms at or
-above the disclosure threshold become spans of kind ``term`` in reach of that entity, or in all texts.
+above the disclosure threshold become spans of kind ``term`` in reach of that entity, or in all texts, and are
+generalised to their kind like the entities themselves.
 
-Counts: N words of the corpus; n(t), n(c) and n(c, t) different contexts (the words in reach) of a term, of an
-entity, and of an entity with the term, so that copies of a document count once.
+Counts are over the corpus of different texts, so that copies of a document count once: N words, n(t) occurrences of
+a term, n(c) of an entity, and n(c, t) of an entity with the term in reach. A row counts one by the number of rows
+with its text; all sums are of such parts and rounded.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -24,8 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import Scratch
-from loomwork.llm.linededup import run_hashes
-from loomwork.llm.vectors import words
+from loomwork.llm.vectors import Words, words
 
 # The kinds in their order, and the characters of each pattern.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -37,11 +40,13 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 #: A term's share of the entity's information from which it is a disclosure.
 DISCLOSURE = 0.8
-#: Deviations below the observed share of a term's contexts at which its lower bound lies (Wilson, one-sided 95 %).
+#: Deviations below the observed share of a term's occurrences at which its lower bound lies (Wilson, one-sided 95 %).
 DEVIATIONS = 1.645
 REACH = 10
-#: Term and context pairs that a task holds at most.
+#: Different terms whose counts a task holds at most.
 HELD = 500_000
+#: Texts with copies are broadcast (hash and number) up to this many, 16 MB; beyond it texts are joined by a shuffle.
+BROADCAST_COPIES = 1_000_000
 #: Cells of the filter of candidate terms; its size is fixed, a false hit costs a row and changes nothing.
 FILTER_BITS = 1 << 22
 
@@ -89,7 +94,7 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_NEXT = re.compile(r"[\x20\t\x0b\x0c\r]*+([^\x20\x09-\x0D]+)")
 _EDGES = " \t.,;:!?\"'()[]{}<>|*$%&#"
 
 
@@ -99,11 +104,31 @@ def _term(word: str) -> tuple[str, int]:
     return left.rstrip(_EDGES).lower(), len(word) - len(left)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -> Iterator[tuple[int, int, int, int, int]]:
-    """(entity, context, term, start, end) of every term in reach of an entity, hashed; base spans aren't terms.
+class Covered:
+    """Which places lie in base spans: their union as disjoint ranges, so that each place takes one search."""
 
-    Reads at most the line of the entity, word by word from it, so it takes time in proportion to ``reach``.
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, s, e in spans:  # by start
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end) - 1  # the last range that starts before the end
+        return k >= 0 and self.ends[k] > start
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -> Iterator[tuple[int, bool, int, int, int]]:
+    """(entity, whether the first of this term at it, term, start, end) of every term in reach, hashed.
+
+    Base spans aren't terms. Reads at most the line of the entity, word by word from it, so all entities of a text
+    take time in proportion to ``reach`` each.
     """
+    covered = Covered(spans)
     for kind, start, end in spans:
         entity = _hash(f"{kind}:{text[start:end]}")
         near: list[tuple[int, int]] = []
@@ -118,193 +143,233 @@ def contexts(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -
                 at -= 1
             near.append((at, stop))
         near.reverse()
-        line = text.find("\n", end)
-        after = _WORD.finditer(text, end, line if line >= 0 else len(text))
-        near += [m.span() for _, m in zip(range(reach), after, strict=False)]
-        terms = []
+        at = end
+        for _ in range(reach):
+            m = _NEXT.match(text, at)
+            if not m:
+                break
+            near.append(m.span(1))
+            at = m.end()
+        met: set[str] = set()
         for s, e in near:
-            if any(s < b and a < e for _, a, b in spans):
-                continue
-            term, skip = _term(text[s:e])
-            if term:
-                terms.append((term, s + skip, s + skip + len(text[s:e].strip(_EDGES))))
-        context = _hash("\x00".join(t for t, _, _ in terms))
-        for term, s, e in terms:
-            yield entity, context, _hash(term), s, e
+            if not covered.meets(s, e):
+                term, skip = _term(text[s:e])
+                if term:
+                    yield entity, term not in met, _hash(term), s + skip, s + skip + len(text[s:e].strip(_EDGES))
+                    met.add(term)
+
+
+def _generalised(text: str, spans: list[tuple[str, int, int]]) -> str:
+    parts, at = [], 0
+    for kind, s, e in spans:
+        s = max(s, at)
+        if e > s:
+            parts += [text[at:s], f"[{kind.upper()}]"]
+            at = e
+    return "".join([*parts, text[at:]])
+
+
+def _digest(text: str) -> str:
+    return sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _scan() -> Column:
-    """A struct of base counts, base spans and contexts of a text column."""
+    """A struct of base counts, base spans, entities, terms in their reach, and the digest of the generalised text, of a text column."""
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, n_chars long, base string, near array<struct<c:long,x:long,t:long,s:int,e:int>>")
+    @F.pandas_udf(
+        "n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, near array<struct<c:long,new:boolean,t:long,s:int,e:int>>, clean string"
+    )
     def scan(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             spans = base_spans(text)
             n = [sum(k == kind for k, _, _ in spans) for kind in KINDS[:4]]
-            near = [dict(zip("cxtse", x, strict=True)) for x in contexts(text, spans)] if spans else None
-            rows.append((*n, len(text), ",".join(f"{k}:{s}:{e}" for k, s, e in spans), near))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "n_chars", "base", "near"])
-
-    return scan(F.coalesce("text", F.lit("")))
-
-
-def _few(t: np.ndarray, x: np.ndarray, caps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different (term, context) pairs, sorted, and one more than its cap of each term at most."""
-    order = np.lexsort((x, t))
-    t, x, caps = t[order], x[order], caps[order]
-    new = np.ones(len(t), dtype=bool)
-    new[1:] = (t[1:] != t[:-1]) | (x[1:] != x[:-1])
-    t, x, caps = t[new], x[new], caps[new]
-    few = np.arange(len(t)) - np.searchsorted(t, t) <= caps
-    return t[few], x[few], caps[few]
-
-
-def _table(terms: DataFrame, value: Column) -> np.ndarray:
-    """The highest value of the terms (column t) of each cell of the filter; 0 where there is none."""
-    cell = F.pmod("t", F.lit(FILTER_BITS)).cast("int").alias("i")
-    cells = terms.groupBy(cell).agg(F.max(value.cast("byte")).alias("p")).toArrow()  # FILTER_BITS rows at most
-    out = np.zeros(FILTER_BITS, dtype=np.uint8)
-    out[cells.column("i").to_numpy()] = cells.column("p").to_numpy()
+            found = [None] * 3
+            if spans:
+                near = [dict(zip(("c", "new", "t", "s", "e"), x, strict=True)) for x in contexts(text, spans)]
+                found = [[_hash(f"{k}:{text[s:e]}") for k, s, e in spans], near, _digest(_generalised(text, spans))]
+            rows.append((*n, ",".join(f"{k}:{s}:{e}" for k, s, e in spans), *found))
+        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "entities", "near", "clean"])
+
+    return scan("text")
+
+
+def _marks(terms: DataFrame) -> np.ndarray:
+    """Which cells of the filter have a term (column t)."""
+    cells = terms.select(F.pmod("t", F.lit(FILTER_BITS)).cast("int").alias("i")).distinct().toArrow()  # FILTER_BITS rows at most
+    out = np.zeros(FILTER_BITS, dtype=bool)
+    out[cells.column("i").to_numpy()] = True
     return out
 
 
+def _known_terms(w: Words, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words whose term is in the filter; the term's hash, where it starts in the word and ends."""
+    _, one, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+    term, skip, stop, fits = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), np.zeros(len(one), bool)
+    for k, i in enumerate(one.tolist()):
+        word = w.data[w.starts[i] : w.ends[i]].tobytes().decode("utf-8", "surrogatepass")
+        name, at = _term(word)
+        if name and marks[(h := _hash(name)) % FILTER_BITS]:
+            term[k], skip[k], stop[k], fits[k] = h, at, at + len(word.strip(_EDGES)), True
+    at = np.flatnonzero(fits[back])
+    kind = back[at]
+    return at, term[kind], skip[kind], stop[kind]
+
+
 def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(t, n): different contexts in the corpus of at least the candidate terms; and t null with N, all words.
+    """(t, n): occurrences of at least the candidate terms (column t), weighted by the rows' ``weight``; and t null with N, all words.
 
-    Candidates are (t, most): beyond ``most`` contexts a term's number is a lower bound above ``most``, so that a
-    frequent word costs little. A table of fixed size tells each task the words to count and their bounds, rounded
-    up to powers of two; each task shuffles the different contexts that it met.
+    A table of fixed size tells each task the words to count; each task shuffles a row a term that it met.
     """
-    powers = _table(candidates, F.greatest(F.ceil(F.log2("most")), F.lit(0)) + 1)
+    marks = _marks(candidates)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = 0, []
-
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            return _few(*(np.concatenate(column) for column in zip(*held, strict=True)))
+        total, terms, sums = 0.0, np.zeros(0, np.int64), np.zeros(0)
 
-        def rows(t: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(x), pa.nulls(len(t), pa.int64())], names=["t", "x", "n"])
+        def rows(t: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(n, pa.float64())], names=["t", "n"])
 
         for batch in batches:
-            for w in words(batch.column(0)):
-                total += len(w.hashes)
-                _, one, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-                terms, caps = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
-                for k, i in enumerate(one.tolist()):
-                    term, _ = _term(w.data[w.starts[i] : w.ends[i]].tobytes().decode())
-                    if term:
-                        terms[k] = _hash(term)
-                        caps[k] = powers[terms[k] % FILTER_BITS]
-                at = np.flatnonzero(caps[back])
-                if not len(at):
-                    continue
-                lines = np.sort(np.concatenate((w.offsets, np.flatnonzero(w.data == 10))))
-                first = np.searchsorted(w.starts, lines)
-                line = np.searchsorted(lines, w.starts[at], side="right") - 1
-                lo, hi = np.maximum(at - REACH, first[line]), np.minimum(at + REACH, first[line + 1] - 1)
-                held.append(_few(terms[back[at]], run_hashes(w.hashes, lo, hi).view(np.int64), 1 << (caps[back[at]] - 1)))
-            if sum(len(t) for t, *_ in held) > HELD:
-                held = [merged()]
-                if len(held[0][0]) > HELD // 2:
-                    yield rows(*held[0][:2])
-                    held = []
-        if held:
-            yield rows(*merged()[:2])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["t", "x", "n"])
-
-    met = docs.select("text").mapInArrow(count, "t long, x long, n long")
-    # Contexts first, then terms; the rows of N have neither.
-    return met.groupBy("t", "x").agg(F.sum("n").alias("n")).groupBy("t").agg(F.coalesce(F.sum("n"), F.count("x")).alias("n"))
-
-
-def disclosures(near: DataFrame, docs: DataFrame, scratch: Scratch, threshold: float, n_chars: int) -> DataFrame | None:
+            weight = batch.column("weight").to_numpy(zero_copy_only=False)
+            for w in words(batch.column("text")):
+                own = weight[w.lo : w.hi]
+                total += float(own @ w.counts)
+                at, term, _, _ = _known_terms(w, marks)
+                terms = np.concatenate((terms, term))
+                sums = np.concatenate((sums, own[np.searchsorted(w.first, at, side="right") - 1]))
+                if len(terms) > 4 * HELD:
+                    terms, back = np.unique(terms, return_inverse=True)
+                    sums = np.bincount(back, sums, len(terms))
+                    if len(terms) > HELD:
+                        yield rows(terms, sums)
+                        terms, sums = terms[:0], sums[:0]
+        terms, back = np.unique(terms, return_inverse=True)
+        yield rows(terms, np.bincount(back, sums, len(terms)))
+        yield rows(pa.array([None], pa.int64()), np.array([total]))
+
+    met = docs.select("text", "weight").mapInArrow(count, "t long, n double")
+    return met.groupBy("t").agg(F.round(F.sum("n")).alias("n"))
+
+
+def disclosures(rows: DataFrame, docs: DataFrame, scratch: Scratch, threshold: float) -> DataFrame | None:
     """(c, t) pairs of an entity and a term that discloses it; None if no entity has a term in reach."""
-    together = near.select("c", "t", "x").distinct().groupBy("c", "t").agg(F.count("*").alias("nct"))
-    alone = near.select("c", "x").distinct().groupBy("c").agg(F.count("*").alias("nc"))
-    together = scratch.put(together.join(alone, "c"))
+    near = rows.select("weight", F.explode("near").alias("x")).where("x.new").groupBy("x.c", "x.t").agg(F.round(F.sum("weight")).alias("nct"))
+    alone = scratch.put(rows.select("weight", F.explode("entities").alias("c")).groupBy("c").agg(F.round(F.sum("weight")).alias("nc")))
+    together = scratch.put(near.join(alone, "c"))
     if together.isEmpty():
         return None
-    # A disclosure's n(t) is n(c, t) (N / n(c))^(1 - threshold) at most, and N less than the characters.
-    most = F.col("nct") * F.pow(F.lit(float(n_chars)) / F.col("nc"), F.lit(1 - threshold))
-    counts = scratch.put(term_counts(docs, together.groupBy("t").agg(F.max(most).alias("most"))))
+    counts = scratch.put(term_counts(docs, together.select("t")))
     n = F.lit(float(counts.where("t IS NULL").first()["n"]))
-    both = together.join(counts.select("t", F.col("n").cast("double").alias("nt")), "t").withColumn("nt", F.greatest("nt", "nct"))
+    both = together.join(counts.withColumnRenamed("n", "nt"), "t").withColumn("nt", F.greatest("nt", "nct"))
     share, z2 = F.col("nct") / F.col("nt"), DEVIATIONS**2
     spread = DEVIATIONS * F.sqrt(share * (1 - share) / F.col("nt") + z2 / (4 * F.col("nt") * F.col("nt")))
     least = (share + z2 / (2 * F.col("nt")) - spread) / (1 + z2 / F.col("nt"))
     pmi, information = F.log(least * n / F.col("nc")), F.log(n / F.col("nc"))
-    return scratch.put(both.where((information > 0) & (pmi >= threshold * information)).select("c", "t"))
+    found = scratch.put(both.where((information > 0) & (pmi >= threshold * information)).select("c", "t"))
+    scratch.drop(together, counts, alone)
+    return found
 
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, t, s, e) wherever a term (column t) stands as a word in a text, outside base spans."""
-    marks = _table(terms, F.lit(1))
+    """key, text, base and hits (t, s, e) of the texts with a word whose term is in the filter of ``terms`` (column t), outside base spans."""
+    marks = _marks(terms)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int, int] | None] = {}
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                hits = []
-                for m in _WORD.finditer(text):
-                    word = m.group()
-                    if word not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        term, skip = _term(word)
-                        h = _hash(term)
-                        known[word] = (h, skip, skip + len(word.strip(_EDGES))) if term and marks[h % FILTER_BITS] else None
-                    if hit := known[word]:
-                        hits.append((m.start(), m.end(), *hit))
-                spans = base_spans(text) if hits else []
-                rows += [(key, t, lo + s, lo + e) for lo, hi, t, s, e in hits if not any(lo < b and a < hi for _, a, b in spans)]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "t", "s", "e"])
-
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    return keyed.mapInArrow(find, "key long, t long, s int, e int").join(terms, "t", "left_semi")
+            for w in words(batch.column("text")):
+                at, term, skip, stop = _known_terms(w, marks)
+                row = np.searchsorted(w.first, at, side="right") - 1
+                points = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))  # code points before each byte
+                place = points[w.starts[at]] - points[w.offsets[row]]
+                size = points[w.ends[at]] - points[w.starts[at]]
+                out = []
+                for i, lo in zip(*np.unique(row, return_index=True), strict=True):
+                    hi = np.searchsorted(row, i, side="right")
+                    text = batch.column("text")[w.lo + int(i)].as_py()
+                    spans = base_spans(text)
+                    covered = Covered(spans)
+                    mine = [
+                        {"t": t, "s": p + a, "e": p + b}
+                        for t, p, n, a, b in zip(*(x[lo:hi].tolist() for x in (term, place, size, skip, stop)), strict=True) if not covered.meets(p, p + n)
+                    ]
+                    if mine:
+                        out.append((batch.column("key")[w.lo + int(i)].as_py(), text, ",".join(f"{k}:{s}:{e}" for k, s, e in spans), mine))
+                if out:
+                    yield pa.RecordBatch.from_pylist([dict(zip(("key", "text", "base", "hits"), x, strict=True)) for x in out], _HITS)
+
+    return docs.select("key", "text").mapInArrow(find, "key string, text string, base string, hits array<struct<t:long,s:int,e:int>>")
+
+
+_HITS = pa.schema([
+    ("key", pa.string()), ("text", pa.string()), ("base", pa.string()),
+    ("hits", pa.list_(pa.struct([("t", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]))),
+])
+
+
+def _key(text: Column) -> Column:
+    """What tells rows by doc_id and text."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("/"), F.md5(text.cast("binary"))).cast("binary"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, th (hash of the text) and key (of both); equal rows have equal keys."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"), _key(text).alias("key"))
 
 
 def find_personal(docs: DataFrame, threshold: float = DISCLOSURE, everywhere: bool = False) -> DataFrame:
-    """doc_id, counts of the four kinds, base_sha256, spans and n_terms of every row, repeated ones too.
+    """doc_id, counts of the four kinds, base_sha256, spans, n_terms and sanitised_sha256 of every row, repeated ones too.
 
-    Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas. A null
-    text counts as empty and has none; a null doc_id is kept. An empty table gives no rows. Other columns
-    are ignored. A term is marked in reach of the entity that it discloses; with ``everywhere`` also wherever
-    else it stands, in any line or document. Texts go through Python once for patterns, once for counts and, with
-    ``everywhere``, once for marks, and are never shuffled.
+    Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas; sanitised_sha256 is
+    the digest of the text with each generalised (``sanitise``). A null text counts as empty and has none; a null
+    doc_id is kept. An empty table gives no rows. Other columns are ignored. A term is marked in reach of the entity
+    that it discloses; with ``everywhere`` also wherever else it stands, in any line or document. Texts go through
+    Python once for patterns, once for counts and once for marks; only those with a mark are written or shuffled.
     """
+    return _find(_keyed(docs), threshold, everywhere).drop("key")
+
+
+def _find(docs: DataFrame, threshold: float, everywhere: bool) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), _scan().alias("f"))
-    rows = scratch.put(rows.select("doc_id", "key", "f.*"))
-    near = rows.where("near IS NOT NULL").select("key", F.explode("near").alias("x")).select("key", "x.*")
-    n_chars = rows.agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
-    pairs = disclosures(near, docs, scratch, threshold, n_chars)
-    out = rows.select("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base")
+    rows = docs.select("doc_id", "key", "th", _scan().alias("f"), F.sha2(F.col("text").cast("binary"), 256).alias("own"))
+    rows = scratch.put(rows.select("doc_id", "key", "th", "f.*", "own"))
+    copies = scratch.put(rows.groupBy("th").agg(F.count("*").alias("n")).where("n > 1"))
+    few = copies.count() <= BROADCAST_COPIES
+    weighed = lambda df: df.join(F.broadcast(copies) if few else copies, "th", "left").withColumn("weight", 1 / F.coalesce("n", F.lit(1)))
+    found = weighed(rows.where("entities IS NOT NULL"))
+    pairs = disclosures(found, weighed(docs), scratch, threshold)
+    out = rows.select("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base", F.coalesce("clean", "own").alias("clean"))
     if pairs is None:
-        out = out.withColumn("terms", F.lit(None).cast("array<struct<s:int,e:int>>"))
+        out = out.withColumn("spans", F.col("base")).withColumn("n_terms", F.lit(0))
     else:
-        places = near.join(pairs, ["c", "t"]).select("key", "s", "e")
+        near = rows.select("key", F.explode("near").alias("x")).select("key", "x.*").join(pairs, ["c", "t"]).select("key", "s", "e")
         if everywhere:
-            places = places.unionByName(occurrences(docs, scratch.put(pairs.select("t").distinct())).select("key", "s", "e"))
-        hits = places.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("terms"))
-        out = out.join(hits, "key", "left")
+            terms = scratch.put(pairs.select("t").distinct())
+            marked = scratch.put(occurrences(docs, terms))
+            hits = marked.select("key", F.explode("hits").alias("x")).select("key", "x.*").join(terms, "t", "left_semi").select("key", "s", "e")
+            texts = marked.select("key", "text", "base")
+        else:
+            hits, texts = near, docs.select("key", "text").join(rows.where("entities IS NOT NULL").select("key", "base").distinct(), "key")
+        places = scratch.put(hits.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("terms")))
+        merged = texts.join(places, "key").withColumn("spans", _merged(F.col("base"), F.col("terms")))
+        merged = merged.select("key", "spans", F.size("terms").alias("n_terms"), F.sha2(sanitise(F.col("text"), F.col("spans")).cast("binary"), 256).alias("sha"))
+        merged = scratch.put(merged.distinct())  # equal rows have equal keys
+        out = out.join(merged, "key", "left").withColumn("spans", F.coalesce("spans", "base")).withColumn("clean", F.coalesce("sha", "clean"))
+    return out.select(
+        "doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans", F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"), F.col("clean").alias("sanitised_sha256"),
+    )
+
+
+def _merged(base: Column, terms: Column) -> Column:
+    """The base spans with the terms' places, by start, then kind."""
     part = lambda x, i: F.get(F.split(x, ":"), i)
     order = F.array(*map(F.lit, KINDS))
-    base = F.when(F.col("base") == "", F.array()).otherwise(F.transform(F.split("base", ","), lambda x: F.struct(
+    given = F.when(base == "", F.array()).otherwise(F.transform(F.split(base, ","), lambda x: F.struct(
         part(x, 1).cast("int").alias("s"), F.array_position(order, part(x, 0)).alias("k"), part(x, 2).cast("int").alias("e"))))
-    own = F.transform("terms", lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).cast("long").alias("k"), x["e"].alias("e")))
-    merged = F.transform(F.sort_array(F.concat(base, own)), lambda x: F.concat_ws(":", F.get(order, (x["k"] - 1).cast("int")), x["s"], x["e"]))
-    return out.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
-        F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_join(merged, ",")).alias("spans"),
-        F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"),
-    )
+    own = F.transform(terms, lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).cast("long").alias("k"), x["e"].alias("e")))
+    return F.array_join(F.transform(
+        F.sort_array(F.concat(given, own)), lambda x: F.concat_ws(":", F.get(order, (x["k"] - 1).cast("int")), x["s"], x["e"])), ",")
 
 
 def sanitise(text: Column, spans: Column) -> Column:
@@ -314,13 +379,19 @@ def sanitise(text: Column, spans: Column) -> Column:
     def clean(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
         out = []
         for t, spans in zip(texts.fillna(""), all_spans.fillna(""), strict=True):
-            parts, at = [], 0
-            for kind, s, e in (x.split(":") for x in spans.split(",") if x):
-                s, e = max(int(s), at), int(e)
-                if e > s:
-                    parts += [t[at:s], f"[{kind.upper()}]"]
-                    at = e
-            out.append("".join([*parts, t[at:]]))
+            parted = (x.split(":") for x in spans.split(",") if x)
+            out.append(_generalised(t, [(k, int(s), int(e)) for k, s, e in parted]))
         return pd.Series(out, dtype=object)
 
     return clean(text, spans)
+
+
+def sanitised_documents(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
+    """All rows and columns of ``docs``, with personal data and the terms that disclose it generalised wherever they stand.
+
+    A null text stays null. Texts with a span are joined with it, so texts move once here.
+    """
+    spans = _find(_keyed(docs), threshold, everywhere=True).where("spans <> ''").select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).distinct()
+    joined = docs.withColumn("__key", _key(F.coalesce("text", F.lit("")))).join(spans, "__key", "left")
+    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(sanitise(F.col("text"), F.col("__spans")))
+    return joined.withColumn("text", clean).select(*docs.columns)

@@ -3,7 +3,7 @@
 A word's vector is the mean of the embeddings of its character 3- to 5-grams (with marks at its ends) and
 of the word itself, hashed to buckets, so an unseen misspelling shares most of a known word's vectors. A
 window's vector is the mean over its distinct words, and a softmax over two classes scores it. Embeddings and
-softmax are trained together in numpy on a bounded sample of labelled documents, whole. As few words of a
+softmax are trained together in numpy on a bounded sample of labelled documents, whole, once a fold. As few words of a
 toxic document are toxic, its windows are trained in rounds: first all of them as toxic, then only
 those that the model before finds. A document's score is calibrated on its highest window.
 
@@ -30,8 +30,10 @@ WINDOW = 32
 #: Labelled documents of either class that the model is fitted on, at most, and UTF-8 bytes of all their texts: in
 #: the order of the hashes of their ids, documents are taken whole until the next one would exceed a class's half.
 SAMPLE_PER_CLASS, SAMPLE_BYTES = 2000, 32_000_000
-#: One in so many sampled documents of either class calibrates and isn't trained on.
-CALIBRATE = 5
+#: Models that are trained, each without its part of either class, which it then calibrates on; they are averaged.
+FOLDS = 3
+#: Weight of the model that did not see a text in its calibration; one model alone is noisier than their mean (.632 rule).
+UNSEEN = 0.632
 #: A bucket takes part if so many training texts have it, at most half a class; rarer ones could only be learned by heart.
 LEAST_TEXTS = 4
 ROUNDS = 3
@@ -203,10 +205,10 @@ def _windows(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (words * new).sum(axis=1) / np.maximum(new.sum(axis=1), WINDOW // 2) * SCALE
 
 
-def start(seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+def start(seed: int, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, float]:
     """Embeddings, softmax difference and offset before training."""
     rng = np.random.default_rng(seed)
-    return rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, DIM), 0.0
+    return rng.normal(0, 0.1, (buckets, DIM)), rng.normal(0, 0.5, DIM), 0.0
 
 
 def _train(
@@ -216,7 +218,7 @@ def _train(
 
     ``n_feats`` is how many buckets each word has, those included that ``usable`` leaves out.
     """
-    emb, soft, bias = start(seed)
+    emb, soft, bias = start(seed, len(usable))
     words = np.concatenate(windows)
     size = np.array([len(w) for w in windows])
     at = np.cumsum(size) - size
@@ -229,7 +231,7 @@ def _train(
         z = np.add.reduceat(each[words], at) / share * SCALE + bias
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         by_word = np.bincount(words, np.repeat(g / share * SCALE, size), len(n_feats)) / n_feats
-        by_feat = np.bincount(b.feats, np.repeat(by_word, held), BUCKETS) * usable
+        by_feat = np.bincount(b.feats, np.repeat(by_word, held), len(usable)) * usable
         g_emb, g_soft = np.outer(by_feat, soft), emb.T @ by_feat
         rate = RATE * (1 - step / STEPS)
         m_emb = MOMENTUM * m_emb + (1 - MOMENTUM) * g_emb / (np.abs(g_emb).max() + 1e-12)
@@ -244,63 +246,60 @@ def _train(
 def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
     """Train on labelled texts. Without both classes nothing tells them apart, and the model scores 0 for every text.
 
-    A class of a single text both trains and calibrates, as then all texts do.
+    ``FOLDS`` models are trained, each on the other folds' texts, and averaged; the calibration weighs each text's
+    windows under the model that did not see it and under the others. Fewer texts of a class than folds are in
+    every model.
     """
     y = np.array(toxic, dtype=np.int64)
     keep = np.array([i for i, t in enumerate(texts) if (_codes([t])[1]).size], dtype=np.int64)
     texts, y = [texts[i] for i in keep], y[keep]
     if len(set(y)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, (-30.0, 0.0, 0.0))
-    rank = np.zeros(len(y), dtype=np.int64)
+    fold = np.zeros(len(y), dtype=np.int64)
     for c in (0, 1):
-        rank[y == c] = np.arange((y == c).sum())
-    held, train = np.flatnonzero(rank % CALIBRATE == 0), np.flatnonzero(rank % CALIBRATE != 0)
-    if len(set(y[train])) < 2:
-        held = train = np.arange(len(y))
-    b = bags([texts[i] for i in train])
-    least = max(1, min(LEAST_TEXTS, np.bincount(y[train]).min() // 2))  # a class of a few texts has few in common
+        n = int((y == c).sum())
+        fold[y == c] = np.arange(n) % FOLDS if n >= FOLDS else -1
+    b = bags(texts)
+    least = max(1, min(LEAST_TEXTS, np.bincount(y).min() // 2))  # a class of a few texts has few in common
     usable, n_feats = common_buckets(b, least), np.diff(b.ptr)
     b = only_buckets(b, usable)
+    some, feats = np.unique(b.feats, return_inverse=True)  # only these are trained
+    b, usable = Bags(feats, b.ptr, b.words, b.first), usable[some]
     runs, owner = [], []
-    for k in range(len(train)):
-        if b.first[k] < b.first[k + 1]:
-            for lo, hi in zip(*_spans(b.first[k + 1] - b.first[k]), strict=True):
-                runs.append(np.unique(b.words[b.first[k] + lo : b.first[k] + hi]))
-                owner.append(k)
-    owner, label = np.array(owner), y[train]
-
-    def balanced(use: np.ndarray) -> np.ndarray:
-        w = np.zeros(len(use))
-        for c in (0, 1):
-            mine = use & (label[owner] == c)
-            w[mine] = 0.5 / max(1, mine.sum())
-        return w
-
-    use = np.ones(len(runs), dtype=bool)
-    for turn in range(ROUNDS):
-        pick = np.flatnonzero(use)
-        effect, bias = _train(b, n_feats, usable, [runs[i] for i in pick], label[owner[pick]].astype(float), balanced(use)[pick], seed + turn)
-        each = np.add.reduceat(effect[b.feats].astype(np.float64), b.ptr[:-1]) / n_feats
-        z = np.array([each[r].sum() / max(len(r), WINDOW // 2) for r in runs]) * SCALE + bias
-        top = np.full(len(train), -np.inf)
-        np.maximum.at(top, owner, z)
-        use = (label[owner] == 0) | (z >= np.minimum(0.6 * top[owner], top[owner]))
-    model = Model(effect, bias, (0.0, 1.0, 0.0))
-    return Model(effect, bias, _calibrate(model, [texts[i] for i in held], y[held]))
-
-
-def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> np.ndarray:
+    for k in range(len(texts)):
+        for lo, hi in zip(*_spans(b.first[k + 1] - b.first[k]), strict=True):
+            runs.append(np.unique(b.words[b.first[k] + lo : b.first[k] + hi]))
+            owner.append(k)
+    owner = np.array(owner)
+    effects, bias, unseen, known = [], [], np.zeros(len(texts)), np.zeros(len(texts))
+    for f in range(FOLDS):
+        seen = fold[owner] != f
+        use = seen.copy()
+        for turn in range(ROUNDS):
+            pick = np.flatnonzero(use)
+            label = y[owner[pick]]
+            weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
+            effect, offset = _train(b, n_feats, usable, [runs[i] for i in pick], label.astype(float), weight, seed + ROUNDS * f + turn)
+            each = np.add.reduceat(effect[b.feats].astype(np.float64), b.ptr[:-1]) / n_feats
+            z = np.array([each[r].sum() / max(len(r), WINDOW // 2) for r in runs]) * SCALE + offset
+            high = np.full(len(texts), -np.inf)
+            np.maximum.at(high, owner, z)
+            use = seen & ((y[owner] == 0) | (z >= np.minimum(0.6 * high[owner], high[owner])))
+        effects.append(effect)
+        bias.append(offset)
+        mine = (fold == f) | (fold < 0)
+        unseen[mine] = high[mine]
+        known += np.where(mine, 0, high) / np.where(fold < 0, FOLDS, FOLDS - 1)
+    effect = np.zeros(BUCKETS, np.float32)
+    effect[some] = np.mean(effects, axis=0)
+    n_windows = np.bincount(owner, minlength=len(texts))
+    top = UNSEEN * unseen + (1 - UNSEEN) * np.where(fold < 0, unseen, known)
+    return Model(effect, float(np.mean(bias)), _calibrate(top, n_windows, y))
+
+
+def _calibrate(top: np.ndarray, n_windows: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression of the label on the highest window and the log number of windows, lightly penalised."""
-    x, rows, done = [], [], 0
-    for run in _runs_of(texts):
-        words, ids, first = model.words(run)
-        for i in range(len(run)):
-            if first[i + 1] > first[i]:
-                z = _windows(words[first[i] : first[i + 1]], ids[first[i] : first[i + 1]]) + model.bias
-                x.append([1.0, z.max(), np.log(len(z))])
-                rows.append(done + i)
-        done += len(run)
-    x, y = np.array(x), y[rows].astype(float)
+    x, y = np.column_stack((np.ones(len(top)), top, np.log(n_windows))), y.astype(float)
     w = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     spread = np.array([1.0, max(1e-6, x[:, 1].std()), 1.0])
     x, beta = x / spread, np.zeros(3)

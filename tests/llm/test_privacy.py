@@ -1,10 +1,13 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from loomwork.llm.privacy import KINDS, base_spans, contexts, find_personal, luhn, sanitise
+from loomwork.llm.privacy import DEVIATIONS, DISCLOSURE, KINDS, REACH, base_spans, contexts, find_personal, luhn, sanitise, sanitised_documents
 from tests.llm.helpers import documents, empty, frame, odd, texts
 
 PATTERNS = {
@@ -13,6 +16,9 @@ PATTERNS = {
 }
 
 
+EDGES = " \t.,;:!?\"'()[]{}<>|*$%&#"
+
+
 def plain(text):
     out = []
     for kind, pattern in PATTERNS.items():
@@ -94,6 +100,78 @@ def test_terms_are_marked_in_all_texts(spark):
     assert out[201].n_terms == 0 and all(out[i].spans == "" for i in (*range(100, 140), 202))
 
 
+def counted(rows):
+    """Term spans of each text by the definition: counts over different texts, one window of words an entity."""
+    terms = lambda line, lo: [(m.group().strip(EDGES).lower(), lo + m.start() + len(m.group()) - len(m.group().lstrip(EDGES)), m) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+    n, n_t, n_c, n_ct, found = 0, Counter(), Counter(), Counter(), {}
+    for text in {t or "" for _, t in rows}:
+        spans, lo, lines = plain(text), 0, []
+        for line in text.split("\n"):
+            lines.append((lo, line))
+            lo += len(line) + 1
+        free = lambda a, b, spans=spans: not any(a < e and s < b for _, s, e in spans)
+        for lo, line in lines:
+            n += len(re.findall(r"[^\x20\x09-\x0D]+", line))
+            for t, s, m in terms(line, lo):
+                if t:
+                    n_t[t] += 1
+                    if free(lo + m.start(), lo + m.end()):
+                        found.setdefault(text, []).append((t, s, s + len(m.group().strip(EDGES))))
+        for kind, s, e in spans:
+            c = (kind, text[s:e])
+            n_c[c] += 1
+            lo, line = next((lo, x) for lo, x in lines if lo <= s <= lo + len(x))
+            before, after = terms(text[lo:s], lo)[-REACH:], terms(text[e : lo + len(line)], e)[:REACH]
+            near = {t for base, some in ((lo, before), (e, after)) for t, _, m in some if t and free(base + m.start(), base + m.end())}
+            for t in near:
+                n_ct[c, t] += 1
+    shown = set()
+    for (c, t), k in n_ct.items():
+        seen = max(n_t[t], k)
+        share, z2 = k / seen, DEVIATIONS**2
+        least = (share + z2 / (2 * seen) - DEVIATIONS * math.sqrt(share * (1 - share) / seen + z2 / (4 * seen * seen))) / (1 + z2 / seen)
+        if math.log(n / n_c[c]) > 0 and math.log(least * n / n_c[c]) >= DISCLOSURE * math.log(n / n_c[c]):
+            shown.add(t)
+    return {text: {(s, e) for t, s, e in some if t in shown} for text, some in found.items()}, shown
+
+
+def test_terms_against_counting_by_hand(spark):
+    rows = list(texts(spark).items()) + [(10_000 + i, t) for i, t in list(texts(spark).items())[:20]]
+    rows += [(20_000, "Ask Zirkon at max@mail.example\nnow"), (20_001, "Zirkon at max@mail.example, max@mail.example and Zirkon"), (20_002, "zirkon?"), (20_003, None)]
+    want, shown = counted(rows)
+    out = find_personal(frame(spark, rows), everywhere=True).collect()
+    assert len(out) == len(rows) and "zirkon" in shown and len(shown) > 20
+    real = dict(rows)
+    for r in out:
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert {(int(s), int(e)) for k, s, e in spans if k == "term"} == want.get(real[r.doc_id] or "", set()), r.doc_id
+        assert r.n_terms == sum(k == "term" for k, *_ in spans)
+        clean = generalised(real[r.doc_id] or "", [(k, int(s), int(e)) for k, s, e in spans])
+        assert r.sanitised_sha256 == hashlib.sha256(clean.encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in sanitised_documents(frame(spark, rows)).collect()}
+    assert clean[20_002] == "[TERM]?" and clean[20_003] is None and len(clean) == len(rows)
+    assert clean[20_001].startswith("[TERM] at [EMAIL]")
+
+
+def generalised(text, spans):
+    out, at = "", 0
+    for k, s, e in spans:
+        if e > max(s, at):
+            out, at = out + text[at : max(s, at)] + f"[{k.upper()}]", e
+    return out + text[at:]
+
+
+def test_many_entities_take_linear_time():
+    took = []
+    for n in (2_000, 16_000):
+        text = "word of mail " + " and ".join(f"user{i}@mail{i}.example" for i in range(n))
+        spans = base_spans(text)
+        began = time.process_time()
+        assert sum(1 for _ in contexts(text, spans)) > n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * 3 * max(took[0], 0.02)
+
+
 def test_contexts_stay_in_reach_and_line():
     text = "far away\nnear, \"Name\" me@x.yz after 4111 tail"
     terms = {text[s:e] for *_, s, e in contexts(text, base_spans(text), 2)}
