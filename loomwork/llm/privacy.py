@@ -47,8 +47,10 @@ REACH = 10
 HELD = 500_000
 #: Texts with copies are broadcast (hash and number) up to this many, 16 MB; beyond it texts are joined by a shuffle.
 BROADCAST_COPIES = 1_000_000
-#: Cells of the filter of candidate terms; its size is fixed, a false hit costs a row and changes nothing.
-FILTER_BITS = 1 << 22
+#: Bits of the filter of terms; its size is fixed, a false hit costs a row and changes nothing.
+FILTER_BITS = 1 << 25
+#: Bytes of texts whose words are looked up together.
+TOGETHER = 1 << 22
 
 
 def luhn(digits: str) -> bool:
@@ -195,11 +197,17 @@ def _scan() -> Column:
 
 
 def _marks(terms: DataFrame) -> np.ndarray:
-    """Which cells of the filter have a term (column t)."""
-    cells = terms.select(F.pmod("t", F.lit(FILTER_BITS)).cast("int").alias("i")).distinct().toArrow()  # FILTER_BITS rows at most
-    out = np.zeros(FILTER_BITS, dtype=bool)
-    out[cells.column("i").to_numpy()] = True
-    return out
+    """A Bloom filter of the terms (column t) with two bits each, made where the terms are."""
+    cells = terms.select(F.explode(F.array(_cell(F.col("t")), _cell(F.shiftright("t", 25)))).alias("i"))
+    parts = cells.groupBy(F.bitmap_bucket_number(F.col("i") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("i") + 1)).alias("b"))
+    out = np.zeros((FILTER_BITS // 32768, 4096), dtype=np.uint8)
+    for r in parts.collect():  # FILTER_BITS / 8 bytes at most
+        out[r["k"] - 1] = np.frombuffer(r["b"], np.uint8)
+    return out.ravel()
+
+
+def _cell(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(FILTER_BITS - 1))
 
 
 def _known_terms(w: Words, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -209,8 +217,10 @@ def _known_terms(w: Words, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     for k, i in enumerate(one.tolist()):
         word = w.data[w.starts[i] : w.ends[i]].tobytes().decode("utf-8", "surrogatepass")
         name, at = _term(word)
-        if name and marks[(h := _hash(name)) % FILTER_BITS]:
-            term[k], skip[k], stop[k], fits[k] = h, at, at + len(word.strip(_EDGES)), True
+        if name:
+            term[k], skip[k], stop[k], fits[k] = _hash(name), at, at + len(word.strip(_EDGES)), True
+    for cell in (term & (FILTER_BITS - 1), term >> 25 & (FILTER_BITS - 1)):
+        fits &= (marks[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
     at = np.flatnonzero(fits[back])
     kind = back[at]
     return at, term[kind], skip[kind], stop[kind]
@@ -231,7 +241,7 @@ def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 
         for batch in batches:
             weight = batch.column("weight").to_numpy(zero_copy_only=False)
-            for w in words(batch.column("text")):
+            for w in words(batch.column("text"), TOGETHER):
                 own = weight[w.lo : w.hi]
                 total += float(own @ w.counts)
                 at, term, _, _ = _known_terms(w, marks)
@@ -276,7 +286,7 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in words(batch.column("text")):
+            for w in words(batch.column("text"), TOGETHER):
                 at, term, skip, stop = _known_terms(w, marks)
                 row = np.searchsorted(w.first, at, side="right") - 1
                 points = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))  # code points before each byte
