@@ -1,5 +1,5 @@
 from loomwork.operators.lines import explode_lines, first_match_per_row, keep_links
-from loomwork.operators.records import download_list, lines_to_json, link_text, node_record, to_json_record
+from loomwork.operators.records import download_list, lines_to_json, link_text, node_record, pretty_json, to_json_record
 
 __all__ = [
     "download_list",
@@ -9,5 +9,6 @@ __all__ = [
     "lines_to_json",
     "link_text",
     "node_record",
+    "pretty_json",
     "to_json_record",
 ]

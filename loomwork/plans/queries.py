@@ -28,10 +28,11 @@ from loomwork.operators import (
     lines_to_json,
     link_text,
     node_record,
+    pretty_json,
     to_json_record,
 )
 from loomwork.operators.records import arch_class
-from loomwork.sources import read_table
+from loomwork.sources import read_lines, read_table, read_whole_text, shared_folder, write_json, write_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,21 +70,24 @@ def json_field_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'true' ELSE '' END AS flag,
-CASE WHEN CAST(user_id AS VARCHAR) IN ('443', '8443', '2096', '2087', '2083', '2053') THEN 'tls' ELSE '' END AS port_flag
+CASE WHEN CAST(2050 + user_id % 50 AS VARCHAR) IN ('443', '8443', '2096', '2087', '2083', '2053') THEN 'tls' ELSE '' END AS port_flag
 FROM events""")
 def member_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ports are derived from the users so that some are in the set."""
     events = read_table(spark, sf_dir, "events")
     return events.select(
         "event_id",
         member_flag(F.col("event_type"), ("click", "view"), "true").alias("flag"),
-        member_flag(F.col("user_id").cast("string"), TLS_PORTS).alias("port_flag"),
+        member_flag((F.col("user_id") % 50 + 2050).cast("string"), TLS_PORTS).alias("port_flag"),
     )
 
 
-@query("""SELECT page_id, CASE WHEN url IS NULL THEN NULL WHEN contains(url, ':')
-THEN list_extract(string_split(url, ':'), -1) ELSE '' END AS last FROM pages""")
+@query("""SELECT page_id, CASE WHEN u IS NULL THEN NULL WHEN contains(u, ':') THEN list_extract(string_split(u, ':'), -1) ELSE '' END AS last
+FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, ':', ' ') ELSE url END AS u FROM pages)""")
 def last_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages").select("page_id", last_token(F.col("url")).alias("last"))
+    """One url in three loses its separators."""
+    url = F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit(":"), F.lit(" "))).otherwise(F.col("url"))
+    return read_table(spark, sf_dir, "pages").select("page_id", last_token(url).alias("last"))
 
 
 @query("SELECT page_id, list_extract(string_split(html, '\"'), 12) AS field FROM pages")
@@ -91,16 +95,16 @@ def nth_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", nth_field(F.col("html"), '"', 11).alias("field"))
 
 
-SHAPED = """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN replace(substr(replace(replace(to_base64(encode(text)), '+', 'A'), '/', 'B'), 1, 180), '%', 'C')
+SHAPED = """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN replace(replace(to_base64(encode(text)), '+', 'A'), '/', 'B')
 WHEN turn % 3 = 1 THEN concat('{"TunnelSecret": "', role, '"}') ELSE text END AS auth FROM conversations"""
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN regexp_matches(auth, '^[A-Z0-9a-z=]{{120,250}}$') THEN 'token'
 WHEN contains(auth, 'TunnelSecret') THEN 'secret' ELSE 'default' END AS route FROM ({SHAPED})""")
 def route_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The input is derived from the turns so that every route has rows."""
+    """The input is derived from the turns so that every route has rows, tokens of 251 letters and more among them."""
     t = read_table(spark, sf_dir, "conversations")
-    token = F.substring(F.translate(base64_text(F.col("text")), "+/", "AB"), 1, 180)
+    token = F.translate(base64_text(F.col("text")), "+/", "AB")
     secret = F.concat(F.lit('{"TunnelSecret": "'), F.col("role"), F.lit('"}'))
     auth = F.when(F.col("turn") % 3 == 0, token).when(F.col("turn") % 3 == 1, secret).otherwise(F.col("text"))
     return t.select("conv_id", "turn", auth.alias("auth")).select("conv_id", "turn", route_by_shape(F.col("auth")).alias("route"))
@@ -121,29 +125,30 @@ def first_non_empties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", first_non_empty(a, b, F.lit("3000")).alias("port"))
 
 
-@query("""SELECT doc_id, (coalesce(source, '') <> '' AND coalesce(lang, '') <> '') AS both_set,
-(source IS NULL OR source = '' OR lang IS NULL OR lang = '') AS one_missing FROM documents""")
+GUARDED = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS a, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS b FROM documents"
+
+
+@query(f"""SELECT doc_id, (coalesce(a, '') <> '' AND coalesce(b, '') <> '') AS both_set, (a IS NULL OR a = '' OR b IS NULL OR b = '') AS one_missing
+FROM ({GUARDED})""")
 def set_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values are taken from some rows so that either may be missing."""
     d = read_table(spark, sf_dir, "documents")
-    full = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    return d.select(
-        "doc_id",
-        (full("source") & full("lang")).alias("both_set"),
-        (~full("source") | ~full("lang")).alias("one_missing"),
-    )
+    a, b = F.when(F.col("doc_id") % 3 != 0, F.col("source")), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("lang"))
+    full = lambda c: F.coalesce(c, F.lit("")) != ""
+    return d.select("doc_id", (full(a) & full(b)).alias("both_set"), (~full(a) | ~full(b)).alias("one_missing"))
 
 
-@query("""SELECT conv_id, turn, concat('vless://', role, '@conv', CAST(conv_id AS VARCHAR), '.example.com:', CAST(443 + turn AS VARCHAR), '#', substr(text, 1, 20)) AS link FROM conversations""")
+@query("""SELECT conv_id, turn, concat('vless://', role, '@conv', CAST(conv_id AS VARCHAR), '.example.com:', CAST(443 + turn AS VARCHAR), '#', text) AS link FROM conversations""")
 def template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".example.com"))
-    link = link_text("vless", F.col("role"), host, F.col("turn") + 443, F.substring("text", 1, 20))
+    link = link_text("vless", F.col("role"), host, F.col("turn") + 443, F.col("text"))
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", link.alias("link"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN concat(role, '-', trim(concat('  ', substr(text, 1, 9), ' '))) ELSE trim(concat('  ', substr(text, 1, 9), ' ')) END AS name FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN concat(role, '-', trim(concat('  ', text, ' '))) ELSE trim(concat('  ', text, ' ')) END AS name FROM conversations""")
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("")
-    suffix = F.concat(F.lit("  "), F.substring("text", 1, 9), F.lit(" "))
+    suffix = F.concat(F.lit("  "), F.col("text"), F.lit(" "))
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", display_name(name, suffix).alias("name"))
 
 
@@ -216,3 +221,58 @@ def download_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com"))
     agent = F.when(F.col("lang") == "en", F.col("lang"))
     return d.select("doc_id", F.inline(download_list(F.expr(MACHINE), base, agent)))
+
+
+@query(f"""SELECT doc_id, unnest(f).file_name AS file_name, unnest(f).file_url AS file_url FROM (SELECT doc_id, CASE WHEN lang = 'en'
+THEN list_concat(files, [{{'file_name': 'agent', 'file_url': concat(root, lang)}}]) ELSE files END AS f FROM
+(SELECT doc_id, lang, root, [{{'file_name': 'web', 'file_url': concat(root, 'web')}}, {{'file_name': 'bot', 'file_url': concat(root, 'bot')}}] AS files FROM
+(SELECT doc_id, lang, concat('https://', source, '.example.com/', CASE WHEN {MACHINE} IN ('arm', 'arm64', 'aarch64') THEN 'arm' ELSE 'amd' END, '/') AS root FROM documents)))""")
+def download_lists_agent_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents")
+    base = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com"))
+    agent = F.when(F.col("lang") == "en", F.col("lang"))
+    return d.select("doc_id", F.inline(download_list(F.expr(MACHINE), base, agent, agent_first=False)))
+
+
+@query(r"""SELECT page_id, concat('{', chr(10), '  "log": {', chr(10), '    "level": "none"', chr(10), '  },', chr(10), '  "inbounds": [', chr(10), '    {', chr(10),
+'      "tag": ', coalesce(CAST(to_json(url) AS VARCHAR), 'null'), ',', chr(10), '      "port": ', page_id % 65536, chr(10), '    }', chr(10), '  ],', chr(10), '  "rules": []', chr(10), '}') AS config FROM pages""")
+def config_json_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inbound = {"tag": F.col("url"), "port": F.col("page_id") % 65536}
+    config = pretty_json({"log": {"level": F.lit("none")}, "inbounds": [inbound], "rules": []})
+    return read_table(spark, sf_dir, "pages").select("page_id", config.alias("config"))
+
+
+@query("""SELECT conv_id, turn, to_base64(encode(concat('vless://', role, chr(10), 'vmess://',
+to_base64(encode(CAST(json_object('v', '2', 'ps', text, 'id', role) AS VARCHAR)))))) AS sub FROM conversations""")
+def subscription_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record encoded inside a text of links, and the text encoded again."""
+    record = node_record({"ps": F.col("text"), "id": F.col("role")})
+    body = F.concat(F.lit("vless://"), F.col("role"), F.lit("\nvmess://"), record)
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", base64_text(body).alias("sub"))
+
+
+@query("""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(concat(role, chr(10), text), chr(10))) AS line FROM conversations) GROUP BY line""")
+def text_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as text files and read again by lines."""
+    path = shared_folder(spark)
+    write_text(read_table(spark, sf_dir, "conversations").select(F.concat("role", F.lit("\n"), "text").alias("value")), path)
+    return read_lines(spark, path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT role, count(*) AS n_lines, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM conversations GROUP BY role""")
+def text_file_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of text files a role, each file read whole."""
+    path = shared_folder(spark)
+    turns = read_table(spark, sf_dir, "conversations").select("role", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
+    turns.write.mode("overwrite").partitionBy("role").text(path)
+    whole = read_whole_text(spark, path)
+    return whole.groupBy("role").agg(
+        F.sum(F.regexp_count("value", F.lit("\n"))).cast("long").alias("n_lines"), F.sum(F.char_length("value")).cast("long").alias("n_chars"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS kind FROM events""")
+def json_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as JSON lines, nulls kept, and read again."""
+    path = shared_folder(spark)
+    write_json(read_table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("kind")), path)
+    return spark.read.schema("event_id long, kind string").json(path)

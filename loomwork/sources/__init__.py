@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +30,13 @@ def write_text(df: DataFrame, path: str) -> None:
 def write_json(df: DataFrame, path: str) -> None:
     """Overwrite a folder of JSON lines; null fields are kept."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); in local mode one may be made."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="loomwork-")
+    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"

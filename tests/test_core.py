@@ -1,8 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork import functions as L
-from loomwork.operators import explode_lines, first_match_per_row, keep_links, to_json_record
+from loomwork.operators import explode_lines, first_match_per_row, keep_links, pretty_json, to_json_record
 from loomwork.operators.records import arch_class
 from loomwork.plans import ORACLE, QUERIES
 from loomwork.sources import read_lines, read_whole_text, write_json, write_text
@@ -53,6 +55,21 @@ def test_flags_and_names(spark):
     assert one(spark, to_json_record({"a": F.col("s")}), "v", None) == ['{"a":"v"}', '{"a":null}']
 
 
+def test_pretty_json(spark):
+    value = pretty_json({"a": F.col("s"), "b": [F.lit(1), {"c": F.lit(True)}], "d": {}})
+    texts = ['x" : y', None, "é\\\n"]
+    want = [json.dumps({"a": t, "b": [1, {"c": True}], "d": {}}, indent=2, ensure_ascii=False) for t in texts]
+    assert one(spark, value, *texts) == want
+
+
+def test_every_arm_of_the_queries_occurs(spark):
+    kinds = lambda name, *columns: {tuple(r) for r in QUERIES[name](spark, SF).select(*columns).distinct().collect()}
+    assert {r[0] for r in kinds("member_flags", "port_flag")} == {"", "tls"}
+    assert kinds("set_guards", "both_set", "one_missing") == {(True, False), (False, True)}
+    assert {r[0] for r in kinds("route_shapes", "route")} == {"token", "secret", "default"}
+    assert ("",) in kinds("last_tokens", "last")
+
+
 def test_lines_and_links(spark):
     df = spark.createDataFrame([(1, "a\n\nvless://x", "z"), (2, None, "z"), (3, "", "z")], "id int, text string, line string")
     assert sorted((r.id, r.line_no, r.line) for r in explode_lines(df, "text", ["id"]).collect()) == [(1, 0, "a"), (1, 1, ""), (1, 2, "vless://x"), (3, 0, "")]
