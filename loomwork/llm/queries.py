@@ -16,7 +16,7 @@ from loomwork.llm.quality import quality_rules
 from loomwork.llm.sharding import shard_documents
 from loomwork.llm.simhash import edited_fingerprints
 from loomwork.llm.toxicity import toxicity
-from loomwork.llm.urls import filter_urls
+from loomwork.llm.urls import filter_urls, mirror_links
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,9 @@ def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule and verdict of every page's url."""
-    return filter_urls(table(spark, sf_dir, "pages"))
+    """Rule and verdict of every page's url; pages with the same article are redirects to the least of their urls."""
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, redirects=mirror_links(pages))
 
 
 #: A public BPE vocabulary with byte fallback.

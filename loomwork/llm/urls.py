@@ -1,9 +1,10 @@
 """Operator 6, URL filters: rules by host and path, and redirect equivalence.
 
 A rule names a host (all its subdomains follow) and the start of a path; of those that fit the longest
-decides. Canonical links, refresh redirects and a table of redirects are edges between URLs. Their
-connected components are found by joins, and a URL without a rule of its own takes the verdict of its
-component: allow if any alias is allowed by a rule, else block if any is blocked, else allow.
+decides. Canonical links, refresh redirects and tables of redirects are edges between URLs; ``mirror_links``
+derives such a table from pages that carry the same article. Their connected components are found by joins,
+and a URL without a rule of its own takes the verdict of its component: allow if any alias is allowed by a
+rule, else block if any is blocked, else allow.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Longer lists than this would need a join on the host's suffixes instead of an array in the plan.
-MOST_RULES = 1000
+#: Longer lists of rules are joined on the hosts' suffixes instead of being tried one by one in the plan.
+INLINE_RULES = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,16 +44,35 @@ def query_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
-    """The longest rule that fits, as a struct of rule and verdict; null if none fits."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
+    """The longest rule that fits, as a struct of rule and verdict; null if none fits. Of equally long ones allow wins."""
     chosen = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow", r[1] + r[2])):
         fits = ((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(p))
         chosen = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(chosen)
     return chosen
 
 
+def with_rule(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, rows: str = "url") -> DataFrame:
+    """Add ``r``, the longest rule that fits (as ``rule_of``), to rows with host and path.
+
+    Up to ``INLINE_RULES`` rules are tried in the plan. More of them, or a table of (verdict, host, path), are joined
+    with the suffixes of each different host and path, so that any number of rules takes a join and no broadcast.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= INLINE_RULES:
+            return urls.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+        rules = urls.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+    table = rules.select("verdict", F.col("host").alias("__h"), F.col("path").alias("__p")).dropna().distinct()
+    places = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = places.select("host", "path", F.explode(ends).alias("__h")).join(table, "__h").where(F.startswith("path", F.col("__p")))
+    name = F.concat("__h", "__p")
+    order = F.struct(F.char_length(name).alias("n"), (F.col("verdict") == "allow").alias("a"), name.alias("rule"), "verdict")
+    best = met.groupBy("host", "path").agg(F.max(order).alias("b")).select("host", "path", F.struct("b.rule", "b.verdict").alias("r"))
+    return urls.join(best, ["host", "path"], "left")
+
+
 def node_of(url: Column) -> Column:
     """Id of what a server is asked for: host, path and query, whatever the scheme and fragment."""
     return F.md5(F.concat(host_of(url), path_of(url), query_of(url)).cast("binary"))
@@ -83,32 +103,49 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.select(F.col("url").alias("from_url"), resolve(F.col("url"), F.col("link")).alias("to_url"))
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row, repeated ones too.
+ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
+
+
+def mirror_links(pages: DataFrame) -> DataFrame:
+    """(from_url, to_url): each url whose page has the same article as others, with the least of their urls as its canonical one.
+
+    The article is what stands in the first article element; empty ones, null urls and pages without one give no row.
+    A group of n pages gives n - 1 rows. Digests are shuffled, never pages.
+    """
+    found = pages.where(F.col("url").isNotNull()).select("url", F.regexp_extract("html", ARTICLE, 1).alias("a")).where(F.trim("a") != "")
+    held = found.select("url", F.md5(F.col("a").cast("binary")).alias("article"))
+    scratch = Scratch(pages.sparkSession)
+    held = scratch.put(held)
+    least = scratch.put(held.groupBy("article").agg(F.min("url").alias("to_url"), F.count("*").alias("n")).where("n > 1"))
+    return held.join(least, "article").where("url <> to_url").select(F.col("url").alias("from_url"), "to_url").distinct()
+
+
+def filter_urls(
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, redirects: DataFrame | None = None
+) -> DataFrame:
+    """page_id, host, path, rule, verdict and by_alias of every row, repeated ones too.
 
     A null url has an empty host and path, no rule, no aliases, and is allowed. A null html declares no
-    links. ``redirects`` may add (from_url, to_url) rows; nulls there are left out. An empty table gives
-    no rows; other columns are ignored.
+    links. ``redirects`` may add (from_url, to_url) rows; nulls there are left out. ``by_alias`` tells whether
+    the verdict is that of a component. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession)
     links = page_links(pages.select("url", "html"))
     if redirects is not None:
         links = links.unionByName(redirects.select("from_url", "to_url").dropna())
-    url = F.col("url")
-    own = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), "url")
-    own = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     links = scratch.put(links)
-    if links.isEmpty():
-        return own.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.lit("allow")).alias("verdict"))
-
+    placed = lambda df: df.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
+    own = with_rule(placed(pages.select("page_id", "url")), rules)
     roots = scratch.put(components(
         links.select(node_of(F.col("from_url")).alias("u"), node_of(F.col("to_url")).alias("v")), scratch).distinct())
-    ends = links.select(F.explode(F.array("from_url", "to_url")).alias("url")).distinct()
-    ruled = ends.select(node_of(F.col("url")).alias("node"), rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("v"))
-    verdicts = ruled.where("v IS NOT NULL").distinct().join(roots, "node").groupBy("root").agg(F.min("v").alias("alias_verdict"))
-    named = roots.join(verdicts, "root").select("node", "alias_verdict")  # 'allow' sorts before 'block'
+    ends = placed(links.select(F.explode(F.array("from_url", "to_url")).alias("url")).distinct())
+    ruled = with_rule(ends, rules).select("node", F.col("r.verdict").alias("v")).where("v IS NOT NULL").distinct()
+    verdicts = scratch.put(ruled.join(roots, "node").groupBy("root").agg(F.min("v").alias("alias_verdict")))  # 'allow' sorts before 'block'
+    named = scratch.put(roots.join(verdicts, "root").select("node", "alias_verdict"))
+    scratch.drop(links, roots, verdicts)
     judged = own.join(named, "node", "left")
-    of_alias = F.when(F.col("url").isNotNull(), F.col("alias_verdict"))
+    of_alias = F.when(F.col("url").isNotNull() & F.col("r").isNull(), F.col("alias_verdict"))
     return judged.select(
-        "page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", of_alias, F.lit("allow")).alias("verdict")
+        "page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", of_alias, F.lit("allow")).alias("verdict"),
+        of_alias.isNotNull().alias("by_alias"),
     )

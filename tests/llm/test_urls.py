@@ -1,9 +1,11 @@
+import random
+
 import duckdb
 
 from loomwork.llm.oracles import URLS
 from loomwork.llm.queries import QUERIES
-from loomwork.llm.urls import filter_urls, page_links
-from tests.llm.helpers import SF
+from loomwork.llm.urls import RULES, filter_urls, mirror_links, page_links
+from tests.llm.helpers import LONG, SF
 from tests.oracle import same
 
 COLUMNS = "page_id long, url string, html string, node string, root string"
@@ -64,5 +66,37 @@ def test_empty_and_real(spark):
     assert filter_urls(real).count() == real.count()
 
 
+def test_mirrors(spark):
+    body = "<html><ARTICLE id=x>the same</article>"
+    df = pages(
+        spark, ("http://a.net/1", body), ("http://b.com/de/1", body), ("http://c.net/1", body + "<article>more</article>"), ("http://d.net/1", "<article> </article>"),
+        ("http://e.net/1", "<article> </article>"), ("http://f.com/de/2", None), (None, body), ("http://a.net/1", body),
+    )
+    assert {tuple(r) for r in mirror_links(df).collect()} == {("http://b.com/de/1", "http://a.net/1"), ("http://c.net/1", "http://a.net/1")}
+    out = filter_urls(df, redirects=mirror_links(df)).collect()
+    assert {r.page_id: (r.verdict, r.by_alias) for r in out} == {
+        0: ("block", True), 1: ("block", False), 2: ("block", True), 3: ("allow", False), 4: ("allow", False), 5: ("block", False), 6: ("allow", False), 7: ("block", True)}
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert sorted(con.execute(f"SELECT page_id, verdict, by_alias FROM ({URLS})").fetchall()) == sorted((r.page_id, r.verdict, r.by_alias) for r in out)
+
+
+def test_many_rules_are_joined(spark):
+    rng = random.Random(1)
+    hosts, paths = ["com", "x.com", "a.x.com", "net", "b.net", "org"], ["/", "/a", "/a/b", "/c/"]
+    rules = list({(h, p): (rng.choice(["allow", "block"]), h, p) for h in hosts for p in paths if rng.random() < 0.6}.values())
+    more = rules + [("block", f"host{i}.example", "/") for i in range(2000)]
+    df = pages(spark, *((f"http://{s}{h}{p}{t}", LONG if k == 0 else None) for k, (s, h, p, t) in enumerate(
+        (s, h, p, t) for s in ("", "w.", "host7.example.", "n") for h in hosts for p in ("", *paths) for t in ("", "x", "?y"))), ("http://host7.example/1", ""), (None, None), (None, None))
+    few = verdicts(filter_urls(df, [*rules, ("block", "host7.example", "/")]))
+    table = spark.createDataFrame(more, "verdict string, host string, path string")
+    assert few == verdicts(filter_urls(df, more)) == verdicts(filter_urls(df, table))
+    assert any(v[2] is None for v in few.values()) and few[max(few) - 2][2] == "host7.example/"
+
+
+def test_aliases_decide_some_pages(spark):
+    assert QUERIES["op6_urls"](spark, SF).where("by_alias").count() > 0
+
+
 def test_query_equals_sql(spark):
     assert same(spark, SF, QUERIES["op6_urls"], URLS) > 0
