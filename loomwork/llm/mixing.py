@@ -5,6 +5,7 @@ epochs. From the root down, each node's budget is dealt to its children by weigh
 use its share is capped at its capacity and the rest goes to its siblings. As capacities count whole
 subtrees, a shortage reaches the level above only when all siblings are full. Each leaf then takes
 whole epochs and, of the next, a prefix in that epoch's seeded order that does not exceed the budget.
+The order is of digests of seed, epoch, id and text, so documents without ids spread like others.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import WORD, Scratch, prefix_sum
 
-SLICE_ROWS = 1024
+#: Rows that a piece of a leaf's running sum should hold.
+SLICE_ROWS = 256
 #: Target weights. A name that is not listed has weight 1.
 DOMAIN_WEIGHTS = {"web": 5, "reference": 3, "social": 2}
 LANGUAGE_WEIGHTS = {"en": 6, "de": 2, "fr": 2, "es": 1}
@@ -62,19 +64,20 @@ def mix(
     domains: Mapping[str, int] = DOMAIN_WEIGHTS, languages: Mapping[str, int] = LANGUAGE_WEIGHTS,
     sources: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """doc_id, text_hash, domain, lang, source, tokens, epoch: a row for each selected document and epoch.
+    """doc_id, text_md5, domain, lang, source, tokens, epoch: a row for each selected document and epoch.
 
     The whole budget is share[0]/share[1] of all tokens (words between blanks), at most what the epochs
     hold. A null language or source counts as ''. A text without words has no tokens and is selected in
-    every epoch that its leaf reaches. Repeated rows count each; which of several equal ones is taken
-    does not matter. An empty table gives no rows. Columns of ``docs`` besides doc_id, text, lang and
-    source are ignored. Only ids and counts are shuffled, never texts.
+    every epoch that its leaf reaches; a leaf without tokens reaches none. Repeated rows count each; those that are equal in all four columns
+    can't be told apart, and the result is the same whichever is taken. An empty table gives no rows. Columns
+    of ``docs`` besides doc_id, text, lang and source are ignored. Only ids, digests and counts are shuffled,
+    never texts.
     """
     scratch = Scratch(docs.sparkSession)
     named = docs.select(
         "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("tokens"),
-        F.xxhash64("text").alias("text_hash"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"),
     )
     dom = domain if domain is not None else default_domain()
     rows = scratch.put(named.withColumn("domain", F.coalesce(dom, F.lit(""))).withColumn(
@@ -97,14 +100,14 @@ def mix(
     ))
 
     planned = rows.join(plan, leaf)
-    last = F.md5(F.concat_ws("/", F.lit(seed), F.col("whole"), F.col("id")).cast("binary"))
+    last = F.md5(F.concat_ws("/", F.lit(seed), F.col("whole"), F.col("id"), F.col("text_md5")).cast("binary"))
     n_slices = max(1, (total["n"] or 0) // SLICE_ROWS)
     piece = F.expr(f"shiftright(CAST(conv(substr(k, 1, 7), 16, 10) AS BIGINT) * {n_slices}L, 28)")
     cut = planned.where(f"whole < {max_epochs} AND part > 0").withColumn("k", last).withColumn("piece", piece)
     cut = prefix_sum(cut, leaf, "piece", [F.col("k"), F.col("tokens")], F.col("tokens"), "ahead")
     cut = cut.where("ahead + tokens <= part").withColumn("epoch", F.col("whole"))
     full = planned.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
-    out = ["doc_id", "text_hash", *leaf, "tokens", "epoch"]
+    out = ["doc_id", "text_md5", *leaf, "tokens", "epoch"]
     return full.select(*out).unionByName(cut.select(*out))
 
 
@@ -113,9 +116,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Rows are told by doc_id and text; of repeated rows all are kept if one is selected.
     """
-    chosen = mix(docs, **how).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_hash").alias("__th")).distinct()
-    mine = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__th", F.xxhash64("text"))
-    return mine.join(chosen, ["__id", "__th"], "left_semi").select(*docs.columns)
+    chosen = mix(docs, **how).select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("__md5"))
+    return docs.join(chosen, same, "left_semi").select(*docs.columns)
 
 
 def _sql_weight(name: str, weights: Mapping[str, int]) -> str:
@@ -147,7 +150,7 @@ leaves AS (SELECT {leaf}, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens
 plan AS (SELECT domain, lang, source, CAST(CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS INTEGER) AS whole,
   CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS part FROM leaves JOIN d3 USING (domain, lang, source)),
 planned AS (SELECT * FROM rows1 JOIN plan USING (domain, lang, source)),
-cut AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat('{seed}/', whole, '/', coalesce(CAST(doc_id AS VARCHAR), ''))), tokens
+cut AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat('{seed}/', whole, '/', coalesce(CAST(doc_id AS VARCHAR), ''), '/', md5(coalesce(text, '')))), tokens
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM planned WHERE whole < {max_epochs} AND part > 0),
 chosen AS (SELECT doc_id, text, domain, lang, source, tokens, CAST(unnest(range(whole)) AS INTEGER) AS epoch FROM planned
   UNION ALL SELECT doc_id, text, domain, lang, source, tokens, whole FROM cut WHERE upto <= part)

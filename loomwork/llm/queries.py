@@ -73,7 +73,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each leaf of the tree, by epoch, that fill 70 % of all tokens at target weights."""
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text_hash")
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text_md5")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Documents with equal texts are linked through one hub a text, so a group of n copies has n links and
 not n * n pairs. Each round joins the documents with the votes of their hub and moves whole hubs to
-the shard that holds most of their documents, as far as the shard's quota of rows allows. Documents
-without links, and hubs that found no place, fill what is left, hubs first and each in one run, so
-that counts end at most one apart.
+the shard that holds most of their documents, among those whose quota of rows still takes the hub, or to one
+of these by hash if it holds none. Rounds go on until every hub has a place or fits nowhere: in each the
+first hub of every shard that is wished for moves. Documents without links, and hubs that fit nowhere, fill
+what is left, hubs first and each in one run, so that counts end at most one apart.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import Scratch, prefix_sum, slice_of
 
 #: Rows that a slice of a prefix sum should hold.
-SLICE_ROWS = 1024
+SLICE_ROWS = 256
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     A null text counts as empty. Rows are told apart even if they repeat; a null doc_id is kept.
@@ -26,40 +27,25 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 6) -> Dat
     quota is cut into as many hubs as it needs shards.
     """
     scratch = Scratch(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = scratch.put(docs.select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.col("doc_id"),
-        (F.octet_length(text).cast("long") + 16).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(text.cast("binary")).alias("grp"),
-    ))
+    rows = scratch.put(_rows(docs))
     total = rows.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    room = max(1, total // n_shards)
-
-    # Hubs: texts that occur twice or more; larger ones than a shard in pieces.
-    sizes = scratch.put(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"))
-    pieces = F.when(F.col("n") > room, F.ceil(F.col("n") * 1.25 / room)).otherwise(1)
-    linked = rows.select("rid", "grp").join(sizes, "grp").select(
-        "rid",
-        F.xxhash64("grp", F.pmod(F.xxhash64("rid", F.lit(7)), pieces)).alias("hub"),
-        F.pmod(F.xxhash64("rid"), F.lit(n_shards)).cast("int").alias("shard"),
-    )
-    linked = scratch.put(linked)
+    linked = scratch.put(_links(rows, max(1, total // n_shards), n_shards, scratch))
     hubs = scratch.put(linked.groupBy("hub").agg(F.count("*").alias("w")))
     n_hubs = hubs.count()
 
     # Rounds: votes, moves under quotas.
     settled: DataFrame | None = None
     load = [0] * n_shards
-    open_links, open_hubs = linked, hubs
-    for turn in range(rounds if n_hubs else 0):
+    open_hubs, turn = hubs, 0
+    while n_hubs:
         free = F.array(*(F.lit(quota[s] - load[s]).cast("long") for s in range(n_shards)))
-        votes = open_links.groupBy("hub", "shard").count().join(open_hubs, "hub")
-        fits = votes.where(F.get(free, F.col("shard")) >= F.col("w"))
-        wish = fits.groupBy("hub", "w").agg(F.max(F.struct("count", (-F.col("shard")).alias("s"))).alias("b"))
-        wish = wish.select("hub", "w", (-F.col("b.s")).cast("int").alias("shard"))
+        votes = linked.groupBy("hub", "shard").count().join(open_hubs, "hub").where(F.get(free, F.col("shard")) >= F.col("w"))
+        best = votes.groupBy("hub").agg(F.max(F.struct("count", (-F.col("shard")).alias("s"))).alias("b"))
+        roomy = F.filter(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: F.get(free, s) >= F.col("w"))
+        any_one = F.get(roomy, F.pmod(F.xxhash64("hub", F.lit(turn)), F.size(roomy)).cast("int"))
+        wish = open_hubs.where(F.size(roomy) > 0).join(best, "hub", "left")
+        wish = wish.select("hub", "w", F.coalesce((-F.col("b.s")).cast("int"), any_one).alias("shard"))
         n_slices = max(1, n_hubs // (n_shards * SLICE_ROWS))
         # Large hubs first: size classes, then slices of the hash.
         klass = F.lit(63) - F.floor(F.log2(F.col("w")))
@@ -74,12 +60,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 6) -> Dat
             break
         open_hubs = scratch.put(open_hubs.join(moved, "hub", "left_anti"))
         n_hubs = open_hubs.count()
-        if not n_hubs:
-            break
-        # The documents of hubs without a place look for another shard by turning on by one.
-        nxt = F.pmod(F.xxhash64("hub", F.lit(turn)), F.lit(n_shards)).cast("int")
-        open_links = scratch.put(open_links.join(open_hubs.select("hub"), "hub", "left_semi").withColumn(
-            "shard", F.when(F.xxhash64("rid", F.lit(turn)) % 2 == 0, nxt).otherwise(F.col("shard"))))
+        turn += 1
 
     label = rows.join(linked.select("rid", "hub"), "rid", "left")
     if settled is not None:
@@ -114,3 +95,26 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 6) -> Dat
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, size, text_crc32 and grp (the text's digest) of every row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        F.monotonically_increasing_id().alias("rid"),
+        F.col("doc_id"),
+        (F.octet_length(text).cast("long") + 16).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.md5(text.cast("binary")).alias("grp"),
+    )
+
+
+def _links(rows: DataFrame, room: int, n_shards: int, scratch: Scratch) -> DataFrame:
+    """rid, hub and first shard of the rows whose text occurs twice or more; groups larger than ``room`` have several hubs."""
+    sizes = scratch.put(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"))
+    pieces = F.when(F.col("n") > room, F.ceil(F.col("n") * 1.25 / room)).otherwise(1)
+    return rows.select("rid", "grp").join(sizes, "grp").select(
+        "rid",
+        F.xxhash64("grp", F.pmod(F.xxhash64("rid", F.lit(7)), pieces)).alias("hub"),
+        F.pmod(F.xxhash64("rid"), F.lit(n_shards)).cast("int").alias("shard"),
+    )

@@ -1,6 +1,12 @@
+import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import pytest
+from pyspark.sql import functions as F
+
+from loomwork.llm import sharding
+from loomwork.llm.common import Scratch
 from loomwork.llm.sharding import shard_documents
 from tests.llm.helpers import documents, empty, frame, odd, odd_rows, texts
 
@@ -42,6 +48,70 @@ def test_groups_larger_than_a_shard(spark):
     assert sum(len(s) > 1 for t, s in at.items() if t != "hot") <= 5
 
 
+def placed_by_hand(spark, df, n_shards):
+    """Shards of all rows by the rules of the method, one hub after the other; hashes are Spark's."""
+    scratch = Scratch(spark)
+    rows = scratch.put(sharding._rows(df))
+    total = rows.count()
+    quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
+    linked = scratch.put(sharding._links(rows, max(1, total // n_shards), n_shards, scratch))
+    votes, members, hub_of = defaultdict(Counter), defaultdict(list), {}
+    for r in linked.collect():
+        votes[r.hub][r.shard] += 1
+        members[r.hub].append(r.rid)
+        hub_of[r.rid] = r.hub
+    load, home, open_hubs, turn = [0] * n_shards, {}, set(members), 0
+    while open_hubs:
+        free = [q - n for q, n in zip(quota, load, strict=True)]
+        hashed = {r.hub: (r.a, r.b) for r in spark.createDataFrame([(h,) for h in open_hubs], "hub long").select(
+            "hub", F.xxhash64("hub", F.lit(turn)).alias("a"), F.xxhash64("hub").alias("b")).collect()}
+        wishes = defaultdict(list)
+        for h in open_hubs:
+            w = len(members[h])
+            roomy = [s for s in range(n_shards) if free[s] >= w]
+            fits = [(n, -s) for s, n in votes[h].items() if free[s] >= w]
+            if roomy:
+                wishes[-max(fits)[1] if fits else roomy[hashed[h][0] % len(roomy)]].append(h)
+        slices = max(1, len(open_hubs) // (n_shards * sharding.SLICE_ROWS))
+        moved = set()
+        for s, some in wishes.items():
+            ahead = 0
+            for h in sorted(some, key=lambda h: (63 - len(bin(len(members[h]))) + 3, ((hashed[h][1] % (1 << 64)) >> 33) * slices >> 31, -len(members[h]), h)):
+                if ahead + len(members[h]) <= free[s]:
+                    home[h] = s
+                    moved.add(h)
+                ahead += len(members[h])
+        for h in moved:
+            load[home[h]] += len(members[h])
+        open_hubs -= moved
+        turn += 1
+        if not moved:
+            break
+    out = {r: home[h] for h, some in members.items() if h in home for r in some}
+    keys = {r.rid: (r.k, r.f) for r in rows.select("rid", F.xxhash64("rid").alias("k"), F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(64)).alias("f")).collect()}
+    slices = max(1, total // sharding.SLICE_ROWS)
+
+    def place(rid):
+        h = hub_of.get(rid)
+        key = keys[rid][0] if h is None else h
+        piece = (((key % (1 << 64)) >> 33) * slices >> 31) + (slices if h is None else 0)
+        return piece * 64 + (0 if h is None else keys[rid][1]), key, rid
+
+    rest = sorted((r for r in keys if r not in out), key=place)
+    at = [s for s in range(n_shards) for _ in range(quota[s] - load[s])]
+    return out | dict(zip(rest, at, strict=True)), {r.rid: (r.doc_id, r.grp) for r in rows.collect()}
+
+
+@pytest.mark.parametrize("n_shards", [7, 40])
+def test_placement_by_hand(spark, n_shards):
+    rng = random.Random(n_shards)
+    made = [(i, f"text {rng.randrange(60)}" if i % 3 else f"own {i}") for i in range(900)] + [(2000 + i, "hot") for i in range(300)]
+    df = frame(spark, made).coalesce(1)
+    want, names = placed_by_hand(spark, df, n_shards)
+    got = shard_documents(df, n_shards).collect()
+    assert {r.doc_id: r.shard for r in got} == {names[rid][0]: s for rid, s in want.items()}
+
+
 def test_all_equal(spark):
     whole(shard_documents(frame(spark, [(i, "same") for i in range(95)])).collect(), 40, 95)
 
