@@ -8,6 +8,7 @@ weight, 1 + log2 of its count, on the signs of 256 bits, and pairs weigh four ti
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -26,8 +27,10 @@ _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(n
 _SALT = np.arange(1, BITS // 64 + 1, dtype=U) * U(0x8CB92BA72F3D8DD7)
 _LANE_AT = np.arange(_LANES, dtype=np.int64) * 256
 PAIR_WEIGHT = 4.0
-#: Ranges of ids that are sorted each in a task.
-MOST_RANGES = 8192
+#: UTF-8 bytes that a range of documents should hold, ranges of a task, and ranges at most (their cuts are sent to all tasks).
+RANGE_BYTES, RANGES_A_TASK, MOST_RANGES = 1 << 20, 8, 200_000
+#: Code points of the text that, after the id, tell ranges apart.
+PREFIX = 16
 
 
 def _terms(w) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -102,45 +105,52 @@ def near_pairs(prints: DataFrame, radius: int = 3, fingerprint: str = "fingerpri
     return met.where(~earlier).select("a", "b", bits.alias("distance")).where(F.col("distance") <= radius)
 
 
-def edited_fingerprints(docs: DataFrame, rows_per_range: int = 20_000) -> DataFrame:
+def _cuts(docs: DataFrame, n_ranges: int, n_rows: int) -> list[tuple[bool, int, bytes]]:
+    """First keys of all ranges but the first: an even choice of a hashed part of the keys, about four a range."""
+    every = max(1, n_rows // (4 * n_ranges))
+    some = docs.select("doc_id", "prefix").where(F.pmod(F.xxhash64("doc_id", "prefix"), F.lit(every)) == 0).distinct().collect()
+    keys = sorted((r["doc_id"] is None, ~(r["doc_id"] or 0), bytes(r["prefix"])) for r in some)
+    return sorted({keys[i * len(keys) // n_ranges] for i in range(1, n_ranges)}) if keys else []
+
+
+def edited_fingerprints(docs: DataFrame, rows_per_range: int | None = None) -> DataFrame:
     """Fingerprint every text and the same text with its last third replaced by the start of the next one's.
 
-    The next document has the next lower doc_id; the first follows the last. Ranges of ids, cut at ids that
-    occur, are sorted each in a task; the highest row of the range below is sent along to close a range. Of
-    rows with one doc_id the lesser text comes first. Null ids come last of all, null texts count as empty,
+    The next document has the next lower doc_id; the first follows the last. Documents are dealt in ranges of ids and,
+    where many share an id or have none, of the starts of their texts, of ``RANGE_BYTES`` each (or so many rows).
+    Ranges begin at documents that occur, so the first one of a range is also sent to the range before, to close it.
+    Of rows with one doc_id the lesser text comes first. Null ids come last of all, null texts count as empty,
     and a single row is its own next one. An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.agg(F.count("*").alias("n"), F.max("doc_id").alias("top"), F.count("doc_id").alias("known")).first()
-    n_ranges = min(MOST_RANGES, max(1, ids["n"] // rows_per_range))
-    if not ids["n"]:
-        cuts = np.zeros(0, np.int64)
-    else:
-        shares = [i / n_ranges for i in range(1, n_ranges)]
-        found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 100 * n_ranges)).first()[0] if shares else []
-        cuts = np.unique(np.array(found or [], dtype=np.int64))
-    # Range r holds ids above cuts[r - 1] up to cuts[r]; ids of a cut also close the range above.
-    top = ids["top"]
+    docs = docs.withColumn("prefix", F.substring("text", 1, PREFIX).cast("binary"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("low"), "prefix")
+    of = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("size"), F.min(order).alias("top")).first()
+    wanted = of["n"] // rows_per_range if rows_per_range else of["size"] // RANGE_BYTES
+    n_ranges = min(MOST_RANGES, max(1, wanted))
+    cuts = _cuts(docs, n_ranges, of["n"]) if n_ranges > 1 else []
+    top = (of["top"]["none"], of["top"]["low"], bytes(of["top"]["prefix"])) if of["n"] else None
 
     @F.pandas_udf("array<int>")
-    def ranges(doc_id: pd.Series) -> pd.Series:
+    def ranges(none: pd.Series, low: pd.Series, prefix: pd.Series) -> pd.Series:
         out = []
-        for i, r in zip(doc_id.tolist(), np.searchsorted(cuts, doc_id.to_numpy(np.int64)).tolist(), strict=True):
+        for key in zip(none.tolist(), low.tolist(), map(bytes, prefix), strict=True):
+            r = bisect_right(cuts, key)  # range r has the keys from cuts[r - 1] on
             own = [r]
-            if r < len(cuts) and i == cuts[r]:
-                own.append(-r - 2)  # as the closing row of range r + 1
-            if i == top or top is None:
-                own.append(-1)  # as the closing row of range 0
+            if r and key == cuts[r - 1]:
+                own.append(-r)  # closes range r - 1
+            if key == top:
+                own.append(-len(cuts) - 1)  # closes the last one
             out.append(own)
         return pd.Series(out)
 
-    keyed = docs.select("doc_id", "text", F.explode(ranges(F.coalesce("doc_id", F.lit(-(2**63))))).alias("to"))
+    keyed = docs.select("doc_id", "text", F.explode(ranges(F.col("doc_id").isNull(), F.bitwise_not(F.coalesce("doc_id", F.lit(0))), F.col("prefix"))).alias("to"))
     closing = F.col("to") < 0
     keyed = keyed.select(
         F.when(closing, -F.col("to") - 1).otherwise(F.col("to")).alias("range"), closing.cast("int").alias("closing"), "doc_id", "text"
     )
     order = ["range", "closing", F.desc_nulls_last("doc_id"), "text"]
-    n_parts = max(len(cuts) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_parts = max((len(cuts) + 1) // RANGES_A_TASK, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = keyed.repartition(n_parts, "range").sortWithinPartitions(*order)
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,15 @@
 import hashlib
+import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomwork.llm.simhash import edited_fingerprints, fingerprint_texts, near_pairs
-from tests.llm.helpers import documents, empty, frame, odd, texts
+from loomwork.llm.simhash import BITS, PAIR_WEIGHT, _cuts, edited_fingerprints, fingerprint_texts, near_pairs
+from loomwork.llm.vectors import span_hashes
+from tests.llm.helpers import documents, empty, frame, odd, texts, thue_morse
 
 
 def plain(rows):
@@ -26,6 +31,56 @@ def test_edited_texts(spark, rows_per_range):
     assert digests(edited_fingerprints(documents(spark), rows_per_range)) == plain(texts(spark).items())
 
 
+def by_hand(text):
+    """The fingerprint bit by bit, from the words' hashes."""
+    mask = (1 << 64) - 1
+
+    def spread(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    words = text.split()
+    own = {w: int(span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for w in set(words)}
+    votes = [0.0] * BITS
+    terms = [(own[w], 1 + math.log2(n)) for w, n in Counter(words).items()]
+    terms += [(spread(own[a] * 3 + own[b] & mask), PAIR_WEIGHT * (1 + math.log2(n))) for (a, b), n in Counter(zip(words, words[1:], strict=False)).items()]
+    for term, weight in terms:
+        lanes = b"".join(spread(term ^ k * 0x8CB92BA72F3D8DD7 & mask).to_bytes(8, "little") for k in range(1, BITS // 64 + 1))
+        for i in range(BITS):
+            votes[i] += weight if lanes[i // 8] >> (7 - i % 8) & 1 else -weight
+    return "".join("1" if v > 0 else "0" for v in votes)
+
+
+def test_fingerprints_by_hand(spark):
+    rng = random.Random(3)
+    made = [" ".join(rng.choice("abcdefg") * rng.randrange(1, 40) for _ in range(n)) for n in (1, 2, 3, 8, 30)] + ["", " \n", "é ß é ß", *thue_morse(1024)]
+    out = {r.text: r.fingerprint for r in fingerprint_texts(frame(spark, list(enumerate(made)))).collect()}
+    for text in made:
+        assert f"{int(out[text], 16):0256b}" == (by_hand(text) if text.split() else "0" * 256)
+    rows = list(enumerate(made))
+    got = {r.doc_id: r for r in edited_fingerprints(frame(spark, rows), 3).collect()}
+    for i, text in rows:
+        after = made[i - 1]  # the last one follows the first
+        n = len(text) // 3
+        prints = [by_hand(t) if t.split() else "0" * 256 for t in (text, text[: len(text) - n] + after[:n], after)]
+        same = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / 256
+        assert (got[i].near_edited, got[i].near_next) == (same(prints[0], prints[1]), same(prints[0], prints[2]))
+        assert f"{int(got[i].edited_fingerprint, 16):0256b}" == prints[1]
+
+
+def test_hot_and_null_ids_are_split(spark):
+    rows = [(None, f"{i:05d} text") for i in range(300)] + [(7, f"{i:05d} other") for i in range(300)] + [(i, "x") for i in range(50)]
+    want = plain(rows)
+    out = edited_fingerprints(frame(spark, rows), 20)
+    assert digests(out) == want
+    docs = frame(spark, rows).select("doc_id", F.substring("text", 1, 16).cast("binary").alias("prefix"))
+    cuts = _cuts(docs, 30, len(rows))
+    assert sum(c[0] for c in cuts) > 5 and sum(c[1] == ~7 and not c[0] for c in cuts) > 5
+
+
 def test_likeness(spark):
     out = edited_fingerprints(documents(spark)).collect()
     real = texts(spark)
