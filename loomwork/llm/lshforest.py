@@ -1,29 +1,36 @@
-"""Operator 8, n-gram Jaccard join: MinHash banding, then exact verification.
-
-Documents are sets of runs of five words (hashed to 64 bits; a text of one to four words is one run).
-Fixed-depth banding stands in for the forest: a document has a key of a few min-hashes for each tree, and two
-documents meet in a tree if their keys are equal. The depth is the largest up to ``DEPTH`` whose expected recall
-at the threshold over all trees reaches the target; it reads no data, and no prefix is shortened later. Equal texts are one node, so copies multiply
-no work. Nodes that share a prefix are linked to the least of them, connected components of these links
-are the candidate groups, and within a group every pair whose sizes allow it is verified exactly, in
-blocks: a group of m nodes is dealt over about (m / BLOCK)^2 / 2 tasks of bounded size, and a task gives
-back a row a node, never a row a pair.
+"""Operator 8, n-gram Jaccard join: MinHash LSH forest, then exact verification.
+
+Documents are sets of runs of five words (hashed to 64 bits; a text of one to four words is one run). A document has a
+label of ``DEPTH`` min-hashes for each of ``TREES`` trees; a tree is the trie of its labels, whose inner nodes are their
+prefixes. Two documents are candidates if they share a prefix in some tree. Matching starts from whole labels, and
+prefixes are shortened, for each two sizes of sets, until a pair of these sizes is met with the target recall: sets of n
+and m shingles that reach the threshold have a least Jaccard index, often well above the threshold for short texts, and
+the depth is the greatest at which such a pair meets in some tree with that probability. So short texts, which share
+prefixes by the thousand, stay deep. Tries are held as rows (tree, prefix) and not as sorted arrays in one place: a
+prefix of very many documents is counted map-side and split over tasks.
+
+Equal texts are one node, so copies multiply no work. Nodes that share a prefix are linked to the least of them, and
+connected components of these links are the candidate groups. In a group of up to 2 * ``BLOCK`` nodes every pair is
+verified exactly. In a larger one either every pair whose sizes allow it is, in blocks of size classes, or every pair
+that shares a prefix, in blocks of the prefix, whichever sends fewer texts: a chain of many small prefixes costs as many
+copies of a text as it has prefixes, a dense family about m / ``BLOCK``. A task gives back a row a node, never a row a pair.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import WORD, Scratch, components
 from loomwork.llm.vectors import U, mix, per_row, shingles, words
 
-TREES, DEPTH = 20, 6
+TREES, DEPTH = 20, 8
 RECALL = 0.9999
 THRESHOLD = 0.8
 SIZE = 5
@@ -40,26 +47,55 @@ def depth_for(threshold: float = THRESHOLD, recall: float = RECALL, trees: int =
     return depth
 
 
-def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, text_md5, n_shingles (distinct ones) and the prefix of every tree (null for a text without words)."""
+@cache
+def levels_for(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, ...]:
+    """Lengths of the prefixes under which a set of ``n`` shingles looks for others: one for each size of a partner."""
+    per_mille = round(threshold * 1000)
+    if n > 400:  # the least index is at most this far above the threshold
+        above = min(1.0, threshold + 1.1 * (1 + threshold) ** 2 / (n * (1 + threshold)))
+        return tuple(range(depth_for(threshold, recall), depth_for(above, recall) + 1))
+    found = set()
+    for m in range(-(-n * per_mille // 1000), n * 1000 // per_mille + 1):
+        met = -(-per_mille * (n + m) // (1000 + per_mille))  # the fewest in common that reach the threshold
+        if met <= min(n, m):
+            found.add(depth_for(met / (n + m - met), recall))
+    return tuple(sorted(found))
+
+
+def signatures(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, text_md5, n_shingles (distinct ones) and keys: the prefixes of all trees (none for a text without words)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.zeros((batch.num_rows, TREES), dtype=np.int64)
             sizes = np.zeros(batch.num_rows, dtype=np.int64)
+            owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for w in words(batch.column("text"), 1 << 18):
                 h, bounds = shingles(w, SIZE)
-                sizes[w.lo : w.hi] = [len(np.unique(h[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                own = np.array([len(np.unique(h[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], dtype=np.int64)
+                sizes[w.lo : w.hi] = own
+                levels = [levels_for(n, threshold, recall) if n else () for n in own.tolist()]
+                deepest = np.array([max(x, default=0) for x in levels])
                 h32 = (h >> U(32)).astype(np.uint32)
-                for t in range(TREES):
-                    key = np.full(w.hi - w.lo, t + 1, dtype=U)
-                    for d in range(depth):
+                key = np.tile(np.arange(1, TREES + 1, dtype=U), (len(own), 1))
+                live = np.arange(len(own))
+                for d in range(DEPTH):
+                    deep = deepest[live] > d
+                    if not deep.any():
+                        break
+                    if not deep.all():  # the shingles of those that go on
+                        h32 = h32[np.repeat(deep, np.diff(bounds))]
+                        bounds = np.concatenate(([0], np.cumsum(np.diff(bounds)[deep])))
+                        live = live[deep]
+                    for t in range(TREES):
                         low = per_row((h32 ^ _B[t * DEPTH + d]) * _A[t * DEPTH + d], bounds, np.minimum, np.uint32(0))
-                        key = mix(key * U(0x9E3779B97F4A7C15) + low.astype(U))
-                    keys[w.lo : w.hi, t] = key.view(np.int64)
-            flat = pa.array(keys.ravel())
-            at = pa.array(np.arange(0, keys.size + 1, TREES, dtype=np.int32))
-            listed = pa.ListArray.from_arrays(at, flat)
+                        key[live, t] = mix(key[live, t] * U(0x9E3779B97F4A7C15) + low.astype(U))
+                    here = np.array([i for i in live.tolist() if d + 1 in levels[i]], dtype=np.int64)
+                    owners.append(np.repeat(here + w.lo, TREES))
+                    keys.append(mix(key[here] + U(d)).ravel().view(np.int64))
+            owner = np.concatenate(owners)
+            order = np.argsort(owner, kind="stable")
+            at = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=batch.num_rows)))).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys)[order]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), pa.array(sizes), listed], names=["doc_id", "text_md5", "n_shingles", "keys"])
 
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_md5", F.md5(F.col("text").cast("binary")))
@@ -69,7 +105,9 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
 def _verify(threshold: float):
     """Within each task, rows (node, other, links): links to documents of other nodes, and a root to join."""
 
-    def compare(nodes: list[str], copies: np.ndarray, halves: np.ndarray, texts: list[str]) -> pa.RecordBatch:
+    def compare(held: list[tuple]) -> pa.RecordBatch:
+        _, nodes, copies, halves, texts, tied, all_keys = zip(*held, strict=True)
+        copies, halves, tied = np.array(copies), np.array(halves), tied[0]
         sets: list[np.ndarray] = []
         for w in words(pa.array(texts, pa.large_string())):
             h, bounds = shingles(w, SIZE)
@@ -100,6 +138,11 @@ def _verify(threshold: float):
         np.fill_diagonal(linked, False)
         if halves.any():
             linked &= halves[:, None] != halves[None, :]
+        if tied is not None:  # a pair counts under the least prefix that it shares
+            own_keys = [frozenset(x) for x in all_keys]
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked))), strict=True):
+                if min(own_keys[i] & own_keys[j]) != tied:
+                    linked[i, j] = linked[j, i] = False
         links = linked @ copies
         root = list(range(m))
 
@@ -122,76 +165,101 @@ def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("task", "node", "copies", "half", "text")), strict=True):
+            for k in range(batch.num_rows):
+                row = tuple(column[k].as_py() for column in batch.columns)
                 if held and held[0][0] != row[0]:
                     if len(held) > 1:
-                        yield compare([r[1] for r in held], np.array([r[2] for r in held]), np.array([r[3] for r in held]), [r[4] for r in held])
+                        yield compare(held)
                     held = []
                 held.append(row)
         if len(held) > 1:
-            yield compare([r[1] for r in held], np.array([r[2] for r in held]), np.array([r[3] for r in held]), [r[4] for r in held])
+            yield compare(held)
 
     return run
 
 
+def dealt_tasks(nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """task, node, copies, half, tied and keys: which nodes are compared where.
+
+    ``half`` 0 meets all others of its task, otherwise 1 meets 2 only. ``tied`` is the prefix by which the nodes of a
+    task were dealt, with all ``keys`` of each, so that a pair with several prefixes in common counts once; it is null
+    in tasks that see a pair only once anyway.
+    """
+    prefixes = nodes.select("short", F.explode("keys").alias("key"))
+    # Sums are written before they are joined: Spark splits a hot key's rows only between plain tables.
+    shared = scratch.put(prefixes.groupBy("key").agg(F.min("short").alias("least"), F.count("*").alias("c")).where("c > 1"))
+    star = prefixes.join(shared, "key").where("short <> least").select(F.col("short").alias("u"), F.col("least").alias("v"))
+    groups = scratch.put(components(star.distinct(), scratch).distinct())
+    inside = nodes.select("node", "short", "copies", "n", "keys").join(groups.select(F.col("node").alias("short"), F.col("root").alias("grp")), "short")
+    # Size classes: sizes at the threshold differ by less than one class.
+    inside = scratch.put(inside.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) * (1 - 1e-9)).cast("int")))
+    whole = inside.groupBy("grp").agg(F.count("*").alias("all"))
+    large = scratch.put(whole.where(F.col("all") > 2 * BLOCK).select("grp"))
+    none = [F.lit(None).cast("long").alias("tied"), F.lit(None).cast("array<long>").alias("keys")]
+    tasks = inside.join(large, "grp", "left_anti").select(F.col("grp").cast("string").alias("task"), "node", "copies", F.lit(0).alias("half"), *none)
+    if large.isEmpty():
+        return tasks
+
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def same(name) -> Column:
+        """The blocks that block i of k meets, itself included."""
+        return F.transform(upto("k"), lambda j: F.struct(
+            name(F.least("i", j), F.greatest("i", j)).alias("task"), F.when(j == F.col("i"), 0).when(j > F.col("i"), 1).otherwise(2).alias("half")))
+
+    sizes = inside.join(large, "grp", "left_semi").groupBy("grp", "cls").agg(F.count("*").alias("m"))
+    blocks = sizes.select("grp", "cls", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
+    above = blocks.select("grp", (F.col("cls") - 1).alias("cls"), F.col("k").alias("k_above"))
+    below = blocks.select("grp", (F.col("cls") + 1).alias("cls"), F.col("k").alias("k_below"))
+    blocks = scratch.put(blocks.join(above, ["grp", "cls"], "left").join(below, ["grp", "cls"], "left").na.fill(0, ["k_above", "k_below"]))
+    # Texts to send by size classes, and by prefixes.
+    members = scratch.put(inside.join(large, "grp", "left_semi"))
+    by_class = blocks.groupBy("grp").agg(F.sum(F.col("m") * (F.col("k") + F.col("k_above") + F.col("k_below"))).alias("by_class"))
+    of_group = members.select("grp", F.col("short").alias("least")).join(shared, "least")  # each prefix lies in one group
+    by_key = of_group.groupBy("grp").agg(F.sum(F.col("c") * F.ceil(F.col("c") / BLOCK)).alias("by_key"))
+    chained = scratch.put(by_class.join(by_key, "grp").where("by_key < by_class").select("grp"))
+
+    mine = members.join(chained, "grp", "left_anti").join(blocks, ["grp", "cls"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    name = lambda c1, i, c2, j: F.concat_ws("/", "grp", c1, i, c2, j)
+    one, up, down = F.col("cls"), F.col("cls") + 1, F.col("cls") - 1
+    higher = F.transform(upto("k_above"), lambda j: F.struct(name(one, F.col("i"), up, j).alias("task"), F.lit(1).alias("half")))
+    lower = F.transform(upto("k_below"), lambda j: F.struct(name(down, j, one, F.col("i")).alias("task"), F.lit(2).alias("half")))
+    dealt = mine.select("node", "copies", F.explode(F.concat(same(lambda i, j: name(one, i, one, j)), higher, lower)).alias("t"))
+    tasks = tasks.unionByName(dealt.select("t.task", "node", "copies", "t.half", *none))
+
+    held = members.join(chained, "grp", "left_semi")
+    under = held.select("node", "copies", "keys", F.explode("keys").alias("tied")).join(shared.select(F.col("key").alias("tied"), "c"), "tied")
+    under = under.withColumn("k", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = under.select("node", "copies", "tied", "keys", F.explode(same(lambda i, j: F.concat_ws("/", F.lit("by"), "tied", i, j))).alias("t"))
+    return tasks.unionByName(dealt.select("t.task", "node", "copies", "t.half", "tied", "keys"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, text_md5, root, class_id and n_links of every row, repeated ones too.
 
     Two rows are linked if their texts are equal or the Jaccard index of their shingle sets reaches the
     threshold; ``n_links`` counts the rows that a row is linked to. ``class_id`` is the least doc_id of the
-    connected component, ``root`` names it also where ids repeat (null for a class of its own). A text without words (and null) has no shingles: it links to nothing, not even
-    to its copies, and is a class of its own. Null ids count as links and have the class of their text. An
-    empty table gives no rows. Other columns are ignored.
+    connected component, ``root`` names it also where ids repeat (null for a class of its own). A text without words
+    (and null) has no shingles: it links to nothing, not even to its copies, and is a class of its own. Null ids count
+    as links and have the class of their text. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    signed = scratch.put(signatures(docs, depth_for(threshold, recall)))
+    signed = scratch.put(signatures(docs, threshold, recall))
     nodes = signed.where("n_shingles > 0").groupBy(F.col("text_md5").alias("node")).agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     short = F.conv(F.substring("node", 1, 15), 16, 10).cast("long")  # joins candidates only, so a clash costs a comparison
     nodes = scratch.put(nodes.withColumn("short", short))
 
-    # Candidate groups.
-    prefixes = nodes.select("short", F.explode("keys").alias("key"))
-    # Sums are written before they are joined: Spark splits a hot key's rows only between plain tables.
-    shared = scratch.put(prefixes.groupBy("key").agg(F.min("short").alias("least"), F.count("*").alias("c")).where("c > 1"))
-    star = prefixes.join(shared, "key").where("short <> least").select(F.col("short").alias("u"), F.col("least").alias("v"))
-    groups = scratch.put(components(star.distinct(), scratch).distinct())
-    inside = nodes.select("node", "short", "copies", "n").join(groups.select(F.col("node").alias("short"), F.col("root").alias("grp")), "short")
-    # Size classes: sizes at the threshold differ by less than one class.
-    inside = scratch.put(inside.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) * (1 - 1e-9)).cast("int")))
-    sizes = inside.groupBy("grp", "cls").agg(F.count("*").alias("m"))
-    whole = inside.groupBy("grp").agg(F.count("*").alias("all"))
-    large = scratch.put(whole.where(F.col("all") > 2 * BLOCK).select("grp"))
-
-    small_tasks = inside.join(large, "grp", "left_anti").select("node", "copies", F.col("grp").cast("string").alias("task"), F.lit(0).alias("half"))
-    tasks = small_tasks
-    if not large.isEmpty():
-        blocks = sizes.join(large, "grp").select("grp", "cls", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
-        above = blocks.select("grp", (F.col("cls") - 1).alias("cls"), F.col("k").alias("k_above"))
-        below = blocks.select("grp", (F.col("cls") + 1).alias("cls"), F.col("k").alias("k_below"))
-        blocks = blocks.join(above, ["grp", "cls"], "left").join(below, ["grp", "cls"], "left").na.fill(0, ["k_above", "k_below"])
-        blocks = scratch.put(blocks)  # a plain table, so that the join can split a large group
-        mine = inside.join(blocks, ["grp", "cls"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-        upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-        name = lambda c1, i, c2, j: F.concat_ws("/", "grp", c1, i, c2, j)
-        one, up, down = F.col("cls"), F.col("cls") + 1, F.col("cls") - 1
-        # half 0: all pairs of the block; otherwise pairs of halves 1 and 2 only.
-        same = F.transform(upto("k"), lambda j: F.struct(
-            name(one, F.least("i", j), one, F.greatest("i", j)).alias("task"),
-            F.when(j == F.col("i"), 0).when(j > F.col("i"), 1).otherwise(2).alias("half")))
-        higher = F.transform(upto("k_above"), lambda j: F.struct(name(one, F.col("i"), up, j).alias("task"), F.lit(1).alias("half")))
-        lower = F.transform(upto("k_below"), lambda j: F.struct(name(down, j, one, F.col("i")).alias("task"), F.lit(2).alias("half")))
-        dealt = mine.select("node", "copies", F.explode(F.concat(same, higher, lower)).alias("t"))
-        tasks = tasks.unionByName(dealt.select("node", "copies", "t.task", "t.half"))
+    tasks = scratch.put(dealt_tasks(nodes, scratch, threshold))
 
     # Texts of the nodes, one row of each, then of the tasks.
     firsts = nodes.select("node", F.col("first").alias("doc_id"))
-    chosen = inside.select("node").join(firsts, "node")
+    chosen = tasks.select("node").distinct().join(firsts, "node")
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = text.join(chosen, text["doc_id"].eqNullSafe(chosen["doc_id"])).where(F.md5(F.col("text").cast("binary")) == F.col("node"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ready = tasks.join(texts.select("node", "text").dropDuplicates(["node"]), "node").select("task", "node", "copies", "half", "text")
+    ready = tasks.join(texts.select("node", "text").dropDuplicates(["node"]), "node").select("task", "node", "copies", "half", "text", "tied", "keys")
     ready = ready.repartition(parts, "task").sortWithinPartitions("task", "node")
     found = scratch.put(ready.mapInArrow(_verify(threshold), "node string, other string, links long"))
 

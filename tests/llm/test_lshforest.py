@@ -4,8 +4,9 @@ from collections import Counter
 import pytest
 
 from loomwork.llm import lshforest as L
+from loomwork.llm.common import Scratch
 from loomwork.llm.queries import ORACLE, QUERIES
-from tests.llm.helpers import SF, documents, empty, frame, odd, texts
+from tests.llm.helpers import SF, documents, empty, frame, odd, texts, thue_morse
 from tests.llm.test_quality import WORD
 from tests.oracle import same
 
@@ -80,6 +81,46 @@ def test_repeated_passages_in_large_groups(spark, monkeypatch):
     assert result(frame(spark, rows)) == want
 
 
+def chain(n, words=64):
+    """Texts of a sliding window: each is like its neighbours, and far ones have nothing in common."""
+    return [(i, " ".join(f"c{k}" for k in range(i, i + words))) for i in range(n)]
+
+
+def test_chains_are_dealt_by_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 4)
+    rows = chain(700)
+    want = plain(rows)
+    assert want[350][0] == 0 and want[350][1] > 8
+    assert result(frame(spark, rows)) == want
+    scratch, mean = Scratch(spark), []
+    for n in (700, 1400):
+        signed = L.signatures(frame(spark, chain(n))).selectExpr("text_md5 AS node", "n_shingles AS n", "keys", "1 AS copies", "xxhash64(text_md5) AS short")
+        tasks = L.dealt_tasks(scratch.put(signed), scratch).groupBy("node").count().collect()
+        assert len(tasks) == n
+        mean.append(sum(r["count"] for r in tasks) / n)
+    assert mean[0] < 700 / L.BLOCK and mean[1] < 1.1 * mean[0]  # a text's copies don't grow with the chain
+
+
+def test_levels_hold_the_recall_for_all_sizes():
+    for n in range(1, 60):
+        for m in range(1, 60):
+            for met in range(1, min(n, m) + 1):
+                j = met / (n + m - met)
+                if 1000 * met >= 800 * (n + m - met):
+                    both = set(L.levels_for(n)) & set(L.levels_for(m))
+                    assert max(1 - (1 - j**d) ** L.TREES for d in both) >= L.RECALL, (n, m, met)
+    assert L.levels_for(1) == (L.DEPTH,) and L.levels_for(5000) == (L.depth_for(),)
+    for n in (401, 450, 1000):
+        least = [-(-800 * (n + m) // 1800) for m in range(-(-n * 8 // 10), n * 10 // 8 + 1)]
+        depths = {L.depth_for(i / (n + m - i)) for i, m in zip(least, range(-(-n * 8 // 10), n * 10 // 8 + 1), strict=True)}
+        assert depths <= set(L.levels_for(n))
+
+
+def test_words_of_equal_polynomials_are_unlike(spark):
+    one, other = thue_morse(2048)
+    assert result(frame(spark, [(1, one), (2, other), (3, f"a b c d {one}"), (4, f"a b c d {other}")])) == {i: (i, 0) for i in (1, 2, 3, 4)}
+
+
 def test_depth_follows_the_recall():
     assert L.depth_for(recall=0.5) == L.DEPTH
     deep = [L.depth_for(recall=r) for r in (0.9, 0.99, 0.999, 0.99999, 1.0)]
