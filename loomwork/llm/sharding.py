@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import Scratch, prefix_sum, slice_of
 
 #: Rows that a slice of a prefix sum should hold.
-SLICE_ROWS = 256
+SLICE_ROWS = 1024
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
