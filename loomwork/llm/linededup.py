@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import Scratch
-from loomwork.llm.vectors import BLANK, U, chunks, run_hashes
+from loomwork.llm.vectors import BLANK, U, chunks, release_memory, released, run_hashes
 
 #: Words that a run of lines needs to pair documents, and that a common block needs to be deleted.
 LEAST_WORDS = 5
@@ -94,7 +94,7 @@ def hashed_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
                 ], names=["doc_id", "th", "lines", "n_words", "runs"])
 
     named = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    return named.mapInArrow(scan, "doc_id long, th long, lines binary, n_words array<int>, runs array<long>")
+    return named.mapInArrow(released(scan), "doc_id long, th long, lines binary, n_words array<int>, runs array<long>")
 
 
 def _longest_run(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -211,7 +211,7 @@ def deletions(lined: DataFrame, scratch: Scratch, least: int = LEAST_WORDS) -> D
                 out.append(list(range(len(n_words))) if first == lines else common_blocks(cut(first), cut(lines), n_words, least, first_words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "th", "gone"])
 
-    cut = both.mapInArrow(align, "doc_id long, th long, gone array<int>")
+    cut = both.mapInArrow(released(align), "doc_id long, th long, gone array<int>")
     gone = scratch.put(cut.select("doc_id", "th", F.explode("gone").alias("line_no")).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone")))
     scratch.drop(sides, shared, pairs)
     return gone
@@ -236,14 +236,16 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, counts: tuple[str, st
     joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__gth")), "left").drop("__id", "__gth", "__th")
 
     @F.arrow_udf("string")
-    def without(texts: pa.Array, gones: pa.Array) -> pa.Array:
-        out = []
-        for t, g in zip(texts.to_pylist(), gones.to_pylist(), strict=True):
-            if t is not None and g:
-                drop = set(g)
-                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
-            out.append(t)
-        return pa.array(out, pa.string())
+    def without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, gones in batches:
+            out = []
+            for t, g in zip(texts.to_pylist(), gones.to_pylist(), strict=True):
+                if t is not None and g:
+                    drop = set(g)
+                    t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
+                out.append(t)
+            yield pa.array(out, pa.string())
+        release_memory()
 
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     counted = joined.withColumn(counts[0], n.cast("long")).withColumn(counts[1], F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import WORD, Scratch, components
-from loomwork.llm.vectors import U, mix, per_row, shingles, words
+from loomwork.llm.vectors import U, mix, per_row, released, shingles, words
 
 TREES, DEPTH = 20, 8
 RECALL = 0.9999
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_md5"), pa.array(sizes), listed], names=["doc_id", "text_md5", "n_shingles", "keys"])
 
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_md5", F.md5(F.col("text").cast("binary")))
-    return named.mapInArrow(sign, "doc_id long, text_md5 string, n_shingles long, keys array<long>")
+    return named.mapInArrow(released(sign), "doc_id long, text_md5 string, n_shingles long, keys array<long>")
 
 
 def _verify(threshold: float):
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ready = tasks.join(texts.select("node", "text").dropDuplicates(["node"]), "node").select("task", "node", "copies", "half", "text", "tied", "keys")
     ready = ready.repartition(parts, "task").sortWithinPartitions("task", "node")
-    found = scratch.put(ready.mapInArrow(_verify(threshold), "node string, other string, links long"))
+    found = scratch.put(ready.mapInArrow(released(_verify(threshold)), "node string, other string, links long"))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = scratch.put(components(found.select(F.col("node").alias("u"), F.col("other").alias("v")), scratch).distinct())

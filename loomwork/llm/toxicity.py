@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.vectors import STEP, U, mix, span_hashes
+from loomwork.llm.vectors import STEP, U, mix, release_memory, span_hashes
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -350,16 +350,11 @@ def score_column(model: Model, text: Column) -> Column:
     """The score of a text column; one narrow stage."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        all_texts, out, lo = texts.fillna("").tolist(), [], 0
-        while lo < len(all_texts):
-            hi, size = lo, 0
-            while hi < len(all_texts) and (hi == lo or size + len(all_texts[hi]) < 1_000_000):
-                size += len(all_texts[hi])
-                hi += 1
-            out.append(model.scores(all_texts[lo:hi]))
-            lo = hi
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = [model.scores(run) for run in _runs_of(texts.fillna("").tolist(), 250_000)]
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        release_memory()
 
     return score(text)
 

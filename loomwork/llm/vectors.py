@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,15 +25,28 @@ LANES = 4
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
 def release_memory() -> None:
     """Give the worker's free memory back to the system at the end of a task; the next task may be another operator's."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         return
 
 
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over a task's batches, with its memory given back after the last one."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        release_memory()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over the 64 bits."""
     x = x ^ (x >> U(30))
