@@ -31,9 +31,9 @@ from loomwork.llm.vectors import release_memory
 
 MARK = "▁"
 #: Parts whose ids a task remembers, twice over, their most characters, and characters that are indexed at a time.
-REMEMBER, SHORT, INDEX_CHARS = 150_000, 40, 500_000
+REMEMBER, SHORT, INDEX_CHARS = 150_000, 40, 250_000
 #: Characters of texts that are encoded, decoded and handed on at a time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 
 @dataclass
