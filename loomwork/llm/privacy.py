@@ -328,9 +328,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def find_personal(docs: DataFrame, threshold: float = DISCLOSURE, everywhere: bool = False) -> DataFrame:
-    """doc_id, counts of the four kinds, base_sha256, spans, n_terms and sanitised_sha256 of every row, repeated ones too.
+    """doc_id, counts of the four kinds, base_sha256, spans, n_base, n_terms and sanitised_sha256 of every row, repeated ones too.
 
-    Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas; sanitised_sha256 is
+    n_base is the number of base spans of any kind, n_terms that of the others. Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas; sanitised_sha256 is
     the digest of the text with each generalised (``sanitise``). A null text counts as empty and has none; a null
     doc_id is kept. An empty table gives no rows. Other columns are ignored. A term is marked in reach of the entity
     that it discloses; with ``everywhere`` also wherever else it stands, in any line or document. Texts go through
@@ -367,7 +367,8 @@ def _find(docs: DataFrame, threshold: float, everywhere: bool) -> DataFrame:
         out = out.join(merged, "key", "left").withColumn("spans", F.coalesce("spans", "base")).withColumn("clean", F.coalesce("sha", "clean"))
     return out.select(
         "doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
-        "spans", F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"), F.col("clean").alias("sanitised_sha256"),
+        "spans", (F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone")).alias("n_base"),
+        F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"), F.col("clean").alias("sanitised_sha256"),
     )
 
 

@@ -54,6 +54,7 @@ def test_all_documents(spark):
         line = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in want) for kind in KINDS[:4]]
+        assert r.n_base == len(want)
         spans = r.spans.split(",") if r.spans else []
         assert [x for x in spans if not x.startswith("term:")] == (line.split(",") if line else [])
 
