@@ -66,12 +66,12 @@ def mix(
 ) -> DataFrame:
     """doc_id, text_md5, domain, lang, source, tokens, epoch: a row for each selected document and epoch.
 
-    The whole budget is share[0]/share[1] of all tokens (words between blanks), at most what the epochs
-    hold. A null language or source counts as ''. A text without words has no tokens and is selected in
-    every epoch that its leaf reaches; a leaf without tokens reaches none. Repeated rows count each; those that are equal in all four columns
-    can't be told apart, and the result is the same whichever is taken. An empty table gives no rows. Columns
-    of ``docs`` besides doc_id, text, lang and source are ignored. Only ids, digests and counts are shuffled,
-    never texts.
+    The whole budget is share[0]/share[1] of all tokens (words between blanks), at most what the epochs hold. A null
+    language or source counts as ''. A text without words has no tokens and is selected in every epoch that its leaf
+    reaches; a leaf without tokens reaches none. Repeated rows count each; those that are equal in all four columns
+    can't be told apart, and the result is the same whichever is taken. An empty table gives no rows. Columns of
+    ``docs`` besides doc_id, text, lang and source are ignored. Only ids, digests and counts are shuffled, never
+    texts.
     """
     scratch = Scratch(docs.sparkSession)
     named = docs.select(

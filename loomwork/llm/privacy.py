@@ -330,11 +330,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def find_personal(docs: DataFrame, threshold: float = DISCLOSURE, everywhere: bool = False) -> DataFrame:
     """doc_id, counts of the four kinds, base_sha256, spans, n_base, n_terms and sanitised_sha256 of every row, repeated ones too.
 
-    n_base is the number of base spans of any kind, n_terms that of the others. Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas; sanitised_sha256 is
-    the digest of the text with each generalised (``sanitise``). A null text counts as empty and has none; a null
-    doc_id is kept. An empty table gives no rows. Other columns are ignored. A term is marked in reach of the entity
-    that it discloses; with ``everywhere`` also wherever else it stands, in any line or document. Texts go through
-    Python once for patterns, once for counts and once for marks; only those with a mark are written or shuffled.
+    n_base is the number of base spans of any kind, n_terms that of the others. Spans are kind:start:end in code
+    points, end exclusive, by start, then kind, joined by commas; sanitised_sha256 is the digest of the text with each
+    generalised (``sanitise``). A null text counts as empty and has none; a null doc_id is kept. An empty table gives
+    no rows. Other columns are ignored. A term is marked in reach of the entity that it discloses; with ``everywhere``
+    also wherever else it stands, in any line or document. Texts go through Python once for patterns, once for counts
+    and once for marks; only those with a mark are written or shuffled.
     """
     return _find(_keyed(docs), threshold, everywhere).drop("key")
 
