@@ -13,7 +13,8 @@ Equal texts are one node, so copies multiply no work. Nodes that share a prefix
 connected components of these links are the candidate groups. In a group of up to 2 * ``BLOCK`` nodes every pair is
 verified exactly. In a larger one either every pair whose sizes allow it is, in blocks of size classes, or every pair
 that shares a prefix, in blocks of the prefix, whichever sends fewer texts: a chain of many small prefixes costs as many
-copies of a text as it has prefixes, a dense family about m / ``BLOCK``. A task gives back a row a node, never a row a pair.
+copies of a text as it has prefixes, a dense family about m / (``WIDE`` * ``BLOCK``), or m / ``BLOCK`` if its texts are
+long. A task gives back a row a node, never a row a pair.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ THRESHOLD = 0.8
 SIZE = 5
 #: Nodes of a candidate group that are compared at a time.
 BLOCK = 128
+#: Blocks of size classes hold up to so many times ``BLOCK`` nodes, as long as one holds no more shingles than ``BLOCK`` * ``SPAN``.
+WIDE, SPAN = 8, 3200
 _A = (mix(np.arange(1, TREES * DEPTH + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, TREES * DEPTH + 1001, dtype=U)) >> U(32)).astype(np.uint32)
 
@@ -123,43 +126,52 @@ def _verify(threshold: float):
         many = np.bincount(group)[group] > 1  # a shingle of one node only meets nothing
         group, owner = group[many], owner[many]
         _, group = np.unique(group, return_inverse=True)
-        met = np.zeros((m, m), dtype=np.float32)
+        same = not halves.any()
+        one, two = (slice(None), slice(None)) if same else (np.flatnonzero(halves == 1), np.flatnonzero(halves == 2))
+        met = np.zeros((len(n[one]), len(n[two])), dtype=np.float32)
         rows = group.max() + 1 if len(group) else 0
         width = max(1, 8_000_000 // max(1, m))
         for lo in range(0, rows, width):
             a, b = np.searchsorted(group, [lo, lo + width])
             has = np.zeros((min(width, rows - lo), m), dtype=np.float32)
             has[group[a:b] - lo, owner[a:b]] = 1
-            met += has.T @ has
+            met += has[:, one].T @ has[:, two]
         met = met.astype(np.int64)
-        union = n[:, None] + n[None, :] - met
+        union = n[one][:, None] + n[two][None, :] - met
         # Jaccard >= threshold, in whole thousandths so that the edge is exact.
         linked = (met * 1000 >= round(threshold * 1000) * union) & (met > 0)
-        np.fill_diagonal(linked, False)
-        if halves.any():
-            linked &= halves[:, None] != halves[None, :]
+        if same:
+            np.fill_diagonal(linked, False)
+        place = np.arange(m)
         if tied is not None:  # a pair counts under the least prefix that it shares
             own_keys = [frozenset(x) for x in all_keys]
-            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked))), strict=True):
-                if min(own_keys[i] & own_keys[j]) != tied:
-                    linked[i, j] = linked[j, i] = False
-        links = linked @ copies
-        root = list(range(m))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in np.flatnonzero(linked.any(axis=1)):
-            for j in np.flatnonzero(linked[i, :i]):
-                a, b = find(int(i)), find(int(j))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
+            left, right = place[one].tolist(), place[two].tolist()
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked) if same else linked)), strict=True):
+                if min(own_keys[left[i]] & own_keys[right[j]]) != tied:
+                    linked[i, j] = False
+                    if same:
+                        linked[j, i] = False
+        links = np.zeros(m, dtype=np.int64)
+        links[one] = linked @ copies[two]
+        if not same:
+            links[two] = copies[one] @ linked
+        root = place.copy()
+        left, right = place[one], place[two]
+        fresh = links > 0
+        for i in np.flatnonzero(fresh).tolist():  # a component from its least node, all neighbours of a step at once
+            reached = np.zeros(m, dtype=bool)
+            reached[i] = fresh[i]
+            while reached.any():
+                fresh &= ~reached
+                root[reached] = i
+                near = np.zeros(m, dtype=bool)
+                near[right] = linked[reached[left]].any(axis=0)
+                if not same:
+                    near[left] = linked[:, reached[right]].any(axis=1)
+                reached = near & fresh
         own = [i for i in range(m) if links[i]]
         return pa.RecordBatch.from_arrays([
-            pa.array([nodes[i] for i in own], pa.string()), pa.array([nodes[find(i)] for i in own], pa.string()), pa.array([int(links[i]) for i in own], pa.int64()),
+            pa.array([nodes[i] for i in own], pa.string()), pa.array([nodes[root[i]] for i in own], pa.string()), pa.array([int(links[i]) for i in own], pa.int64()),
         ], names=["node", "other", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,13 +220,17 @@ def dealt_tasks(nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD
             name(F.least("i", j), F.greatest("i", j)).alias("task"), F.when(j == F.col("i"), 0).when(j > F.col("i"), 1).otherwise(2).alias("half")))
 
     sizes = inside.join(large, "grp", "left_semi").groupBy("grp", "cls").agg(F.count("*").alias("m"))
-    blocks = sizes.select("grp", "cls", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
+    times = F.greatest(F.lit(1), F.least(F.lit(WIDE), F.floor(SPAN * F.pow(F.lit(threshold), F.col("cls") + 1))))
+    blocks = scratch.put(sizes.select(
+        "grp", "cls", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("narrow"), F.ceil(F.col("m") / (BLOCK * times)).cast("int").alias("k")))
+    # Texts to send by size classes, and by prefixes, in blocks of one size.
+    members = scratch.put(inside.join(large, "grp", "left_semi"))
+    beside = [blocks.select("grp", (F.col("cls") + by).alias("cls"), F.col("narrow").alias(name)) for by, name in ((-1, "n_above"), (1, "n_below"))]
+    counted = blocks.join(beside[0], ["grp", "cls"], "left").join(beside[1], ["grp", "cls"], "left").na.fill(0, ["n_above", "n_below"])
+    by_class = counted.groupBy("grp").agg(F.sum(F.col("m") * (F.col("narrow") + F.col("n_above") + F.col("n_below"))).alias("by_class"))
     above = blocks.select("grp", (F.col("cls") - 1).alias("cls"), F.col("k").alias("k_above"))
     below = blocks.select("grp", (F.col("cls") + 1).alias("cls"), F.col("k").alias("k_below"))
     blocks = scratch.put(blocks.join(above, ["grp", "cls"], "left").join(below, ["grp", "cls"], "left").na.fill(0, ["k_above", "k_below"]))
-    # Texts to send by size classes, and by prefixes.
-    members = scratch.put(inside.join(large, "grp", "left_semi"))
-    by_class = blocks.groupBy("grp").agg(F.sum(F.col("m") * (F.col("k") + F.col("k_above") + F.col("k_below"))).alias("by_class"))
     of_group = members.select("grp", F.col("short").alias("least")).join(shared, "least")  # each prefix lies in one group
     by_key = of_group.groupBy("grp").agg(F.sum(F.col("c") * F.ceil(F.col("c") / BLOCK)).alias("by_key"))
     chained = scratch.put(by_class.join(by_key, "grp").where("by_key < by_class").select("grp"))
