@@ -13,8 +13,8 @@ Equal texts are one node, so copies multiply no work. Nodes that share a prefix
 connected components of these links are the candidate groups. In a group of up to 2 * ``BLOCK`` nodes every pair is
 verified exactly. In a larger one either every pair whose sizes allow it is, in blocks of size classes, or every pair
 that shares a prefix, in blocks of the prefix, whichever sends fewer texts: a chain of many small prefixes costs as many
-copies of a text as it has prefixes, a dense family about m / (``WIDE`` * ``BLOCK``), or m / ``BLOCK`` if its texts are
-long. A task gives back a row a node, never a row a pair.
+copies of a text as it has prefixes, a dense family ``FEW`` to m / (``WIDE`` * ``BLOCK``), or m / ``BLOCK`` if its texts
+are long. A task gives back a row a node, never a row a pair.
 """
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ THRESHOLD = 0.8
 SIZE = 5
 #: Nodes of a candidate group that are compared at a time.
 BLOCK = 128
-#: Blocks of size classes hold up to so many times ``BLOCK`` nodes, as long as one holds no more shingles than ``BLOCK`` * ``SPAN``.
-WIDE, SPAN = 8, 3200
+#: Blocks of size classes hold up to ``WIDE`` times ``BLOCK`` nodes, as long as a class has ``FEW`` of them and one holds
+#: no more shingles than ``BLOCK`` * ``SPAN``.
+WIDE, FEW, SPAN = 8, 16, 3200
 _A = (mix(np.arange(1, TREES * DEPTH + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, TREES * DEPTH + 1001, dtype=U)) >> U(32)).astype(np.uint32)
 
@@ -220,7 +221,7 @@ def dealt_tasks(nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD
             name(F.least("i", j), F.greatest("i", j)).alias("task"), F.when(j == F.col("i"), 0).when(j > F.col("i"), 1).otherwise(2).alias("half")))
 
     sizes = inside.join(large, "grp", "left_semi").groupBy("grp", "cls").agg(F.count("*").alias("m"))
-    times = F.greatest(F.lit(1), F.least(F.lit(WIDE), F.floor(SPAN * F.pow(F.lit(threshold), F.col("cls") + 1))))
+    times = F.greatest(F.lit(1), F.least(F.lit(WIDE), F.floor(F.col("m") / (BLOCK * FEW)), F.floor(SPAN * F.pow(F.lit(threshold), F.col("cls") + 1))))
     blocks = scratch.put(sizes.select(
         "grp", "cls", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("narrow"), F.ceil(F.col("m") / (BLOCK * times)).cast("int").alias("k")))
     # Texts to send by size classes, and by prefixes, in blocks of one size.
