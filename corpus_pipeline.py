@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import toxicity
-from loomwork.llm.common import Scratch
+from loomwork.llm.common import Scratch, small_batches
 from loomwork.llm.linededup import dedup_lines
 from loomwork.llm.lshforest import one_of_each
 from loomwork.llm.mixing import mixed_documents
@@ -19,6 +19,10 @@ from loomwork.llm.queries import PIECE_MODEL
 
 #: Share of all tokens that the mixture holds, and how often a document may be in it.
 SHARE, EPOCHS = (8, 10), 1
+#: Parts whose ids an encoding task remembers, twice over; the earlier stages leave workers less memory than encoding alone has.
+REMEMBER = 40_000
+#: Bytes of rows that an encoding worker gets at a time; the JVM holds a batch several times over outside its heap.
+BATCH_BYTES = 4 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids and round_trip of every document."""
-    coded = encode_documents(docs, PIECE_MODEL, keep=["doc_id", "source", "lang"])
+    coded = encode_documents(small_batches(docs, BATCH_BYTES), PIECE_MODEL, keep=["doc_id", "source", "lang"], remember=REMEMBER)
     return coded.select("doc_id", "source", "lang", "n_tokens", "ids", "round_trip")
 
 

@@ -69,6 +69,24 @@ class Scratch:
             return
 
 
+#: Spark's bound on the bytes of a batch that a Python worker gets; without it, batches have 10,000 rows of any size.
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame, most: int) -> DataFrame:
+    """The same rows, in a clone of the session whose Python workers get about ``most`` bytes at a time, one row at least.
+
+    The setting holds when a plan runs, so it can't be lifted again in the caller's session before that. A lower one
+    of the caller stays.
+    """
+    spark = df.sparkSession
+    clone = spark._jsparkSession.cloneSession()
+    own = int(spark.conf.get(BATCH_KEY, None) or 0)
+    clone.conf().set(BATCH_KEY, str(min(own, most) if own > 0 else most))
+    plan = df._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(clone, plan), SparkSession(spark.sparkContext, clone))
+
+
 def slice_of(hash64: Column, n: int) -> Column:
     """0 to n-1, in the order of the upper 31 bits of a non-negative or negative 64-bit hash."""
     high = F.shiftrightunsigned(hash64, 33)

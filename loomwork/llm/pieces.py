@@ -196,8 +196,8 @@ class Encoder:
     def _mark(keys: np.ndarray) -> np.ndarray:
         return (keys * 0x9E3779B1 >> 20) & ((1 << 20) - 1)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as int32 bytes."""
+    def encode(self, texts: list[str], remember: int | None = None) -> list[bytes]:
+        """Ids of each text as int32 bytes; ``remember`` (``REMEMBER`` by default) bounds what is known, not the ids."""
         done: list[list[bytes | None]] = []
         open_parts: list[tuple[list[bytes | None], int, str]] = []  # where ids are still to be filled in
         new: dict[str, None] = {}
@@ -226,7 +226,7 @@ class Encoder:
             ids[at] = self._keep(part)[part]
         out = [b"".join(ids) for ids in done]
         self.long = {}
-        if len(self.known) > REMEMBER:  # what the next generation uses is carried over to it
+        if len(self.known) > (REMEMBER if remember is None else remember):  # what the next generation uses is carried over to it
             self.known, self.older = {}, self.known
         return out
 
@@ -413,13 +413,14 @@ def decode_column(ids: Column, model: str) -> Column:
     return decode(ids)
 
 
-def encode_documents(docs: DataFrame, model: str, keep: Sequence[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, keep: Sequence[str] | None = None, remember: int | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with ``ids``, ``n_tokens`` and ``round_trip``; every row stays, texts whole.
 
     A null text counts as empty and has no ids. ``round_trip`` tells whether decoding gives the text back; it
     doesn't for texts that hold the word mark U+2581, which decodes to a blank. Columns of ``docs`` with one of the
     three names are replaced. An empty table gives no rows. One narrow stage; the model is read on the driver and
-    sent along. What a task remembers of parts goes at its end.
+    sent along. A task remembers the ids of ``remember`` parts (``REMEMBER`` by default), twice over, to its end; fewer
+    take less of a worker's memory and more time, for the same ids.
     """
     p, made = load(model), ("ids", "n_tokens", "round_trip")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
@@ -432,7 +433,7 @@ def encode_documents(docs: DataFrame, model: str, keep: Sequence[str] | None = N
             for lo, hi in _slices(batch.column("__text"), SLICE_CHARS):
                 part = batch.slice(lo, hi - lo)
                 texts = part.column("__text").to_pylist()
-                ids = _lists(enc.encode(texts))
+                ids = _lists(enc.encode(texts, remember))
                 back = enc.decode(ids.values.to_numpy(), ids.offsets.to_numpy())
                 right = pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())
                 del texts, back

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.llm import common
-from loomwork.llm.common import Scratch, components, prefix_sum, slice_of
+from loomwork.llm.common import BATCH_KEY, Scratch, components, prefix_sum, slice_of, small_batches
 from loomwork.llm.vectors import run_hashes, shingles, span_hashes, words
 from tests.llm.helpers import thue_morse
 from tests.llm.test_quality import WORD
@@ -113,3 +113,15 @@ def test_tables_are_freed(spark):
     assert Scratch.mark() == mark
     with pytest.raises(Exception, match=r"(?i)not.*exist|not.*found"):
         kept.collect()
+
+
+def test_small_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    docs = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 3000).alias("text"))
+    docs = docs.unionByName(spark.range(1).select("id", F.repeat(F.lit("y"), 1 << 20).alias("text")))
+    got = small_batches(docs, 1 << 16).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 3001 and max(r.size for r in got if r.n > 1) < 1 << 17
+    assert spark.conf.get(BATCH_KEY, None) is None and max(r.n for r in docs.mapInArrow(sizes, "n long, size long").collect()) == 3000

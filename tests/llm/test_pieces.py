@@ -71,3 +71,11 @@ def test_odd_and_empty_tables(spark):
     assert all(r.n_tokens == 0 for r in rows if not r.text)
     assert P.encode_documents(empty(spark), PIECE_MODEL).count() == 0
     assert out.select(P.decode_column(F.lit(None).cast("array<int>"), PIECE_MODEL)).first()[0] == ""
+
+
+def test_remembering_less_gives_the_same_ids(library):
+    enc = P.Encoder(P.load(PIECE_MODEL))
+    some = [" ".join(f"word{i}x{k}" for k in range(50)) for i in range(20)]
+    for lo in range(0, 20, 2):
+        assert [np.frombuffer(x, np.int32).tolist() for x in enc.encode(some[lo : lo + 2], 60)] == library.encode(some[lo : lo + 2])
+        assert len(enc.known) <= 60 and len(enc.older) <= 160

@@ -2,7 +2,7 @@ import pytest
 
 import corpus_pipeline as C
 from loomwork.llm import toxicity
-from loomwork.llm.common import Scratch
+from loomwork.llm.common import BATCH_KEY, Scratch
 from loomwork.llm.mixing import oracle
 from tests.llm.helpers import SF, empty, odd
 from tests.llm.test_lshforest import plain
@@ -78,3 +78,10 @@ def test_odd_and_empty_tables(spark):
             assert given == 0 or name == "mixing sources" or 6 in {r.doc_id for r in docs.collect()}
         coded = C.STAGES[-1][1](spark, docs, SF).collect()
         assert len(coded) == docs.count() <= given and all(r.round_trip for r in coded)
+
+
+def test_encoding_gets_small_batches(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    coded = C.encode(spark, docs, SF)
+    assert int(coded.sparkSession.conf.get(BATCH_KEY)) == C.BATCH_BYTES and spark.conf.get(BATCH_KEY, None) is None
+    assert coded.join(docs.select("doc_id"), "doc_id").count() == docs.count()
