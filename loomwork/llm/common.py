@@ -5,10 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwork.llm.vectors import release_memory
+
 #: What separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -115,36 +121,85 @@ def prefix_sum(df: DataFrame, part: list[str], piece: str, order: list[Column],
     return joined.withColumn(out, F.col("__b") + F.coalesce(F.sum("__w").over(inside), F.lit(0))).drop("__b", "__w")
 
 
+#: Edges that a task holds before it merges them.
+EDGES = 1 << 20
+
+
+def _merged(edges: pa.Table) -> pa.RecordBatch:
+    """Rows (u, v, home): every node with the least node of its component in these edges, least ones themselves left out.
+
+    Nodes that stand as ``u`` in a row of ``home`` keep that mark, and keep a row even if they are the least.
+    """
+    both = pa.chunked_array(edges.column("u").chunks + edges.column("v").chunks).combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(both.dictionary)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    ends = rank[both.indices.to_numpy()]
+    a, b = ends[: len(edges)], ends[len(edges) :]
+    home = np.zeros(len(order), dtype=bool)
+    home[a[edges.column("home").to_numpy()]] = True
+    least = np.arange(len(order))
+    while True:
+        one, two = least[a], least[b]
+        live = one != two
+        if not live.any():
+            break
+        a, b, one, two = a[live], b[live], one[live], two[live]
+        np.minimum.at(least, np.maximum(one, two), np.minimum(one, two))
+        while (least[least] != least).any():
+            least = least[least]
+    kept = np.flatnonzero(home | (least != np.arange(len(order))))
+    nodes = both.dictionary.take(order)
+    return pa.RecordBatch.from_arrays([nodes.take(pa.array(kept)), nodes.take(pa.array(least[kept])), pa.array(home[kept])], names=["u", "v", "home"])
+
+
+def _merge(whole: bool):
+    """Merge the edges of a task: all of them, with ``home`` at the nodes that came as ``u``, or ``EDGES`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, held, rows, most = [], [], 0, 0
+        for batch in batches:
+            mark = pa.array(np.full(batch.num_rows, whole))
+            held.append(pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), mark], names=["u", "v", "home"]))
+            rows += batch.num_rows
+            most = max(most, rows)
+            if rows >= max([EDGES, *(x.num_rows for x in done)]):
+                done, held, rows = [_merged(pa.Table.from_batches(done + held))], [], 0
+                if not whole:
+                    yield done.pop()
+        if held:
+            done = [_merged(pa.Table.from_batches(done + held))]
+        yield from done
+        if most >= EDGES >> 2:
+            release_memory()
+
+    return run
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) of every node on an edge (u, v): the least node of its connected component.
+    """(node, root) of every node on an edge (u, v), once: the least node of its connected component.
 
-    Alternates large-star and small-star rounds; each is two shuffles on the node, and its edges are
-    written before the next. Least neighbours are written too, so that their join with the edges is between
-    plain tables and Spark can split a node with very many edges. Stops when a round changes nothing.
+    First, tasks merge the edges that they happen to hold. Then the edges meet by the larger node, which gets one row, at
+    ``home``, with the least node that it reaches there, and smaller ends that it has joined get rows for their own homes:
+    a node has one row a task at most. A round takes each edge on from its smaller end to the node of that one's own row,
+    and lets them meet again: a large and a small star in one job, whose edges are written before the next. Both sides of
+    its join are plain tables, so Spark can split a node with very many edges. It ends when no smaller end has a row.
     """
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    def star(e: DataFrame, small: bool) -> DataFrame:
-        both = e if small else e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
-        joined = both.join(least, "u")
-        if small:
-            own = least.select("u", "m").where("u <> m")
-            return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-                own.select("u", F.col("m").alias("v"))).distinct()
-        return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = scratch.put(down)
-    was = mark(now)
-    while was[0]:
-        middle = scratch.put(star(now, small=False))
-        after = scratch.put(star(middle, small=True))
+    kind = edges.schema["u"].dataType.simpleString()
+    schema = f"u {kind}, v {kind}, home boolean"
+
+    def met(e: DataFrame) -> DataFrame:
+        return scratch.put(e.select("u", "v").repartition("u").mapInArrow(_merge(True), schema))
+
+    now = met(edges.where("u <> v").select("u", "v").mapInArrow(_merge(False), schema))
+    while True:
+        if now.where("NOT home").isEmpty():
+            roots = scratch.put(now.select("v").distinct())
+            if roots.join(now.select("u"), F.col("v") == F.col("u"), "left_semi").isEmpty():
+                break
+            scratch.drop(roots)
+        up = now.where("home").select(F.col("u").alias("w"), F.col("v").alias("up"))
+        after = met(now.join(up, F.col("v") == F.col("w"), "left").select("u", F.coalesce("up", "v").alias("v")))
         scratch.drop(now)
-        scratch.drop(middle)
-        now, seen = after, mark(after)
-        if seen == was:
-            break
-        was = seen
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        now = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

@@ -202,7 +202,7 @@ def dealt_tasks(nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD
     # Sums are written before they are joined: Spark splits a hot key's rows only between plain tables.
     shared = scratch.put(prefixes.groupBy("key").agg(F.min("short").alias("least"), F.count("*").alias("c")).where("c > 1"))
     star = prefixes.join(shared, "key").where("short <> least").select(F.col("short").alias("u"), F.col("least").alias("v"))
-    groups = scratch.put(components(star.distinct(), scratch).distinct())
+    groups = components(star, scratch)
     inside = nodes.select("node", "short", "copies", "n", "keys").join(groups.select(F.col("node").alias("short"), F.col("root").alias("grp")), "short")
     # Size classes: sizes at the threshold differ by less than one class.
     inside = scratch.put(inside.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) * (1 - 1e-9)).cast("int")))
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     found = scratch.put(ready.mapInArrow(released(_verify(threshold)), "node string, other string, links long"))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = scratch.put(components(found.select(F.col("node").alias("u"), F.col("other").alias("v")), scratch).distinct())
+    roots = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")), scratch)
     named = nodes.select("node", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = scratch.put(named.groupBy("root").agg(F.min("first").alias("class_id")))
     classes = named.join(least, "root").join(links, "node", "left").select(

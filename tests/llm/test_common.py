@@ -32,6 +32,46 @@ def test_components(spark, n_edges):
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
 
 
+def test_components_of_words_merged_a_few_edges_at_a_time():
+    rng = random.Random(3)
+    edges = [(f"é{rng.randrange(200)}", f"é{rng.randrange(200)}") for _ in range(150)]
+    root = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    batches = [pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in edges[i : i + 10]]) for i in range(0, len(edges), 10)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(common, "EDGES", 25)
+        parts = list(common._merge(False)(iter(batches)))
+        (one,) = common._merge(True)(iter(parts))
+    assert len(parts) == 5 and all(len(set(p.column("u").to_pylist())) == p.num_rows for p in parts)
+    rows = one.to_pylist()
+    assert {r["u"]: r["v"] for r in rows} == {x: r for x, r in root.items() if x != r} | {r["u"]: r["u"] for r in rows if r["u"] == r["v"]}
+    assert len(rows) == len({r["u"] for r in rows}) and {r["u"] for r in rows if r["home"]} == {r["u"] for p in parts for r in p.to_pylist()}
+
+
+def test_components_take_few_tasks(spark):
+    rng = random.Random(5)
+    edges = [(10 * f + i, 10 * f + rng.randrange(i)) for f in range(300) for i in range(1, 10)] + [(5000 + i, 5001 + i) for i in range(100)]
+    frame = Scratch(spark).put(spark.createDataFrame(rng.sample(edges, len(edges)), "u long, v long").repartition(4))
+    sc = spark.sparkContext
+    sc.setJobGroup("few", "components")
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = components(frame, Scratch(spark)).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len(got) == 3101 and {r.root for r in got} == {*range(0, 3000, 10), 5000}
+    stages = [sc.statusTracker().getStageInfo(i) for j in sc.statusTracker().getJobIdsForGroup("few") for i in sc.statusTracker().getJobInfo(j).stageIds]
+    tasks = sum(s.numCompletedTasks for s in stages if s)
+    assert 0 < tasks < 800  # 1,145 with a shuffle for each star
+
+
 def test_prefix_sums(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice("ab"), rng.randrange(10)) for i in range(500)]
